@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sagekeep.llm import encoding, mixing
+from sagekeep.llm import encoding, mixing, spans
 from sagekeep.runtime import read_table
 
 
@@ -20,5 +20,13 @@ def p7_shares(spark: SparkSession, root: str) -> DataFrame:
     return mixing.reached_shares(p7_mix(spark, root), read_table(spark, root, "mix_targets"))
 
 
-QUERIES = {"p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares}
+def p8_found(spark: SparkSession, root: str) -> DataFrame:
+    return spans.shared_spans(read_table(spark, root, "documents"))
+
+
+def p8_shared_part(spark: SparkSession, root: str) -> DataFrame:
+    return spans.shared_part(read_table(spark, root, "documents"), p8_found(spark, root))
+
+
+QUERIES = {"p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_shared_part": p8_shared_part}
 ORACLES: dict[str, str] = {}
