@@ -4,10 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sagekeep.llm import encoding, mixing, spans
+from sagekeep.llm import encoding, mixing, spans, vectors
 from sagekeep.runtime import read_table
 
 
+SIMILAR, NEIGHBOURS = 0.90, 5
+
+
+def p3_found(spark: SparkSession, root: str) -> DataFrame:
+    found = None
+    for table, column in (("memories", "content_embedding"), ("entities", "embedding")):
+        near = vectors.similar_neighbours(read_table(spark, root, table), "id", column, NEIGHBOURS, SIMILAR)
+        pairs = vectors.unordered_pairs(near)
+        found = pairs if found is None else found.unionByName(pairs)
+    return found
+
+
 def p6_ids(spark: SparkSession, root: str) -> DataFrame:
     return encoding.encode(read_table(spark, root, "documents"))
 
@@ -28,5 +40,7 @@ def p8_shared_part(spark: SparkSession, root: str) -> DataFrame:
     return spans.shared_part(read_table(spark, root, "documents"), p8_found(spark, root))
 
 
-QUERIES = {"p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_shared_part": p8_shared_part}
+QUERIES = {
+    "p3_found": p3_found,
+    "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_shared_part": p8_shared_part}
 ORACLES: dict[str, str] = {}
