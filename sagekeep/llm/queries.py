@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sagekeep.llm import encoding, mixing, spans, vectors
+from sagekeep.llm import encoding, history, mixing, spans, vectors
 from sagekeep.runtime import read_table
 
 
@@ -20,6 +21,15 @@ def p3_found(spark: SparkSession, root: str) -> DataFrame:
     return found
 
 
+def p4_found(spark: SparkSession, root: str) -> DataFrame:
+    memories = read_table(spark, root, "memories")
+    known = history.ChunkHistory(spark)
+    known.append(memories.filter("id IS NOT NULL").select("id", history.one_blank(F.col("content")).alias("body")))
+    new = read_table(spark, root, "commit_outcomes").filter("outcome IS NULL")
+    found = history.repeats(new, memories, known)
+    return found.select(F.least("id", "match").alias("id_a"), F.greatest("id", "match").alias("id_b"))
+
+
 def p6_ids(spark: SparkSession, root: str) -> DataFrame:
     return encoding.encode(read_table(spark, root, "documents"))
 
@@ -42,5 +52,6 @@ def p8_shared_part(spark: SparkSession, root: str) -> DataFrame:
 
 QUERIES = {
     "p3_found": p3_found,
+    "p4_found": p4_found,
     "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_shared_part": p8_shared_part}
 ORACLES: dict[str, str] = {}

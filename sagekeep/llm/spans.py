@@ -35,6 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sagekeep.llm.hashing import MIX_A, MIX_B, SHIFT, gram_hashes, sliding_least
 from sagekeep.runtime import materialise
 
 LEAST = 120
@@ -42,41 +43,6 @@ GRAM = 48
 #: Characters that are worked on at once.
 SLAB = 400_000
 
-_M1, _M2, _M3 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x9E3779B97F4A7C15), np.uint64(0x94D049BB133111EB)
-_S = np.uint64(31)
-
-
-def gram_hashes(codes: np.ndarray, length: int) -> np.ndarray:
-    """A 64-bit hash of the ``length`` code points at each position, by doubling."""
-    power = (codes.astype(np.uint64) + np.uint64(1)) * _M1
-    power ^= power >> _S
-    whole, done, size = None, 0, 1
-    while True:
-        if length & size:
-            if whole is None:
-                whole, done = power, size
-            else:
-                n = max(0, len(power) - done)
-                whole = whole[:n] * _M2 + power[done : done + n]
-                whole ^= whole >> _S
-                done += size
-        if size * 2 > length:
-            return whole[: max(0, len(codes) - length + 1)]
-        n = max(0, len(power) - size)
-        power = power[:n] * _M3 + power[size : size + n]
-        power ^= power >> _S
-        size *= 2
-
-
-def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
-    """The least of each ``width`` neighbours."""
-    count, size = len(values) - width + 1, 1
-    while size * 2 <= width:
-        values = np.minimum(values[:-size], values[size:])
-        size *= 2
-    return np.minimum(values[:count], values[width - size : width - size + count])
-
-
 def compact_windows(text: str, lengths: np.ndarray, least: int, gram: int) -> tuple[np.ndarray, ...]:
     """Compact windows of the pieces whose concatenation is ``text``.
 
@@ -98,8 +64,8 @@ def compact_windows(text: str, lengths: np.ndarray, least: int, gram: int) -> tu
         cuts = [np.arange(a, b + 1, width) for a, b in zip(starts, ends, strict=True)]
         lasts = [np.minimum(c + width - 1, b) for c, b in zip(cuts, ends, strict=True)]
         starts, ends = np.concatenate(cuts), np.concatenate(lasts)
-    cover = (whole[starts] * _M2 + whole[ends]) * _M3 + (ends - starts).astype(np.uint64)
-    cover ^= cover >> _S
+    cover = (whole[starts] * MIX_A + whole[ends]) * MIX_B + (ends - starts).astype(np.uint64)
+    cover ^= cover >> SHIFT
     return starts, ends - starts + 1, signature[starts].view(np.int64), cover.view(np.int64)
 
 

@@ -279,3 +279,68 @@ def unordered_pairs(neighbours: DataFrame) -> DataFrame:
     return neighbours.select(
         F.least("id", "other").alias("id_a"), F.greatest("id", "other").alias("id_b")
     ).dropDuplicates()
+
+
+def match_in_tile(part: pd.DataFrame, min_similarity: float, earlier: bool, first: bool, dim: int) -> pd.DataFrame:
+    """For each row of a tile its best column, or with ``first`` its first one in order."""
+    ids_a, raw_a, order_a = _matrix(part[part["side"] == 0], dim)
+    ids_b, raw_b, order_b = _matrix(part[part["side"] == 1], dim)
+    found: dict[int, tuple] = {}
+    if len(ids_a) and len(ids_b):
+        a, b = Quantised(raw_a), Quantised(raw_b)
+        by_id = np.argsort(np.argsort(ids_b.astype(str), kind="stable"))
+        order = (order_a, order_b) if earlier else None
+        for r, c, s in tile_pairs(a, b, min_similarity, None if first else 1, order=order, first=first):
+            key = c if first else by_id[c]
+            for i, j, x, at in zip(r.tolist(), c.tolist(), s.tolist(), key.tolist(), strict=True):
+                entry = (0.0 if first else -x, at, j, x)
+                if i not in found or entry < found[i]:
+                    found[i] = entry
+    rows = [(ids_a[i], ids_b[j], x, int(order_b[j])) for i, (_, _, j, x) in found.items()]
+    frame = pd.DataFrame(rows, columns=["id", "other", "similarity", "other_order"])
+    return frame.astype({"id": object, "other": object, "similarity": float, "other_order": "int64"})
+
+
+def match(
+    left: DataFrame,
+    right: DataFrame,
+    min_similarity: float,
+    earlier: bool = False,
+    first: bool = False,
+    dim: int = DIM,
+) -> DataFrame:
+    """id, other, similarity, other_order: the best row of ``right`` for each of ``left``.
+
+    Both sides hold id, vector and order, and are read several times, so they
+    should be tables. Only matches of ``min_similarity`` count; with ``earlier``
+    only rows of ``right`` of a smaller order; with ``first`` the one of smallest
+    order is given instead of the most similar. Each tile gives one match a row.
+    """
+    spark = left.sparkSession
+    sizes = [left.count(), right.count()]
+    if not all(sizes):
+        return spark.createDataFrame([], "id string, other string, similarity double, other_order long")
+    wanted = 3 * spark.sparkContext.defaultParallelism
+    blocks = [math.ceil(size / BLOCK_ROWS) for size in sizes]
+    while blocks[0] * blocks[1] < wanted:
+        side = 0 if sizes[0] / blocks[0] > sizes[1] / blocks[1] else 1
+        if sizes[side] / blocks[side] < 2_000:
+            break
+        blocks[side] += 1
+    packs = [pack(df, n, size) for df, n, size in zip((left, right), blocks, sizes, strict=True)]
+    block = F.col("block")
+    as_left = packs[0].withColumn("tile", F.explode(F.transform(F.sequence(F.lit(0), F.lit(blocks[1] - 1)), lambda j: block * blocks[1] + j)))
+    as_right = packs[1].withColumn("tile", F.explode(F.transform(F.sequence(F.lit(0), F.lit(blocks[0] - 1)), lambda i: i * blocks[1] + block)))
+    partial = (
+        as_left.withColumn("side", F.lit(0))
+        .unionByName(as_right.withColumn("side", F.lit(1)))
+        .repartition(min(blocks[0] * blocks[1], 20_000), "tile")
+        .groupBy("tile")
+        .applyInPandas(
+            lambda part: match_in_tile(part, min_similarity, earlier, first, dim),
+            "id string, other string, similarity double, other_order long",
+        )
+    )
+    key = F.struct("other_order", "other") if first else F.struct(-F.col("similarity"), F.col("other"))
+    best = F.min_by(F.struct("other", "similarity", "other_order"), key)
+    return partial.groupBy("id").agg(best.alias("m")).select("id", "m.other", "m.similarity", "m.other_order")
