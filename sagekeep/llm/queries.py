@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sagekeep.llm import conversations, encoding, history, mixing, spans, vectors
+from sagekeep.llm import conversations, encoding, history, mixing, names, spans, vectors
 from sagekeep.runtime import read_table
 
 
@@ -13,6 +13,11 @@ def p1_found(spark: SparkSession, root: str) -> DataFrame:
     return conversations.conversations(spark, f"{root}/session_lines.parquet")
 
 
+def p2_found(spark: SparkSession, root: str) -> DataFrame:
+    groups = names.link_names(read_table(spark, root, "entities"), read_table(spark, root, "name_aliases"))
+    return names.linked_pairs(groups)
+
+
 SIMILAR, NEIGHBOURS = 0.90, 5
 
 
@@ -56,6 +61,7 @@ def p8_shared_part(spark: SparkSession, root: str) -> DataFrame:
 
 QUERIES = {
     "p1_found": p1_found,
+    "p2_found": p2_found,
     "p3_found": p3_found,
     "p4_found": p4_found,
     "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_shared_part": p8_shared_part}
