@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import io
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +18,27 @@ WHITESPACE = (
 )
 
 
+#: Applications whose workers have this package already.
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give this package to the Python workers of all executors, once for each application."""
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    package, data = Path(__file__).parent, io.BytesIO()
+    with zipfile.ZipFile(data, "w") as archive:
+        for file in sorted(package.rglob("*.py")):
+            archive.write(file, file.relative_to(package.parent))
+    path = context._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark, 'package')}/sagekeep.zip")
+    stream = path.getFileSystem(context._jsc.hadoopConfiguration()).create(path)
+    stream.write(data.getvalue())
+    stream.close()
+    context.addPyFile(path.toString())
+    _SHIPPED.add(context.applicationId)
+
+
 def build_session(app: str = "sagekeep", cpus: int | str = "*", **conf: str) -> SparkSession:
     """A local session for tests and benches; on a cluster the session is given."""
     builder = SparkSession.builder.master(f"local[{cpus}]").appName(app)
