@@ -5,7 +5,8 @@ are joined with each other by sharded tries (see ``tries``). A word that is rare
 and near a frequent or listed one is taken for a slip of it. In each name the
 rarest word is its core (the family name, the organisation's own word), whatever
 the order of the words, unless a comma says which it is; the rest is its label
-(the given name, the line of business). Short forms of labels come from the list
+(the given name, the line of business). Where several words are rare, each order
+is tried. Short forms of labels come from the list
 of aliases, and from the data: a label that mostly stands beside a longer one
 under the same cores, or in an entity's recorded key, is a short form of it.
 
@@ -41,6 +42,8 @@ from sagekeep.runtime import materialise, strip
 
 #: Words beside which a word must stand to count as frequent; names that an alias list may have.
 FREQUENT, MOST_ALIASES = 6, 100_000
+#: Words of a name that may be its core, where the data don't tell which one is.
+MOST_CORES = 3
 #: Cores under which two labels must meet, and their part of the cores of the shorter one, to be learned as one.
 LEARNED_CORES, LEARNED_PART = 2, 0.4
 #: Words around personal names, and words without meaning in those of organisations.
@@ -154,25 +157,30 @@ def _word_table(spellings: DataFrame, listed: DataFrame) -> tuple[DataFrame, Dat
 
 
 def _forms(spellings: DataFrame, words: DataFrame) -> DataFrame:
-    """id, kind, part, core, label, initial: the rarest word of each spelling, and what stands beside it."""
+    """id, kind, part, core, label, initial, usual: the core of each spelling, and what stands beside it.
+
+    Where several words are rare, each of them may be the core; the rarest is the usual one.
+    """
     placed = spellings.select("id", "kind", "part", "initial", "before", F.posexplode("words").alias("at", "word"))
     weighed = placed.join(words, ["kind", "word"]).withColumn("other", F.size("before") > 0)
     weighed = weighed.withColumn("other", F.col("other") & ~F.array_contains("before", F.col("word")))
     items = F.sort_array(F.collect_list(F.struct("other", "weight", "at", "word", "fixed"))).alias("items")
-    rest = F.slice(F.col("items"), 2, F.greatest(F.size("items") - 1, F.lit(1)))
+    cores = F.slice(F.filter("items", lambda w, i: (i == 0) | ~w["other"] & (w["weight"] < 2 * FREQUENT)), 1, MOST_CORES)
+    rest = F.filter("items", lambda w: w["at"] != F.col("c.at"))
     given = F.array_min(F.transform(rest, lambda w: F.struct(w["at"], w["fixed"])))["fixed"]
     business = F.array_join(F.array_sort(F.transform(rest, lambda w: w["fixed"])), " ")
-    alone = F.size("items") == 1
-    label = F.when(alone, "").when(F.col("kind") == "PERSON", given).otherwise(business)
+    label = F.when(F.size("items") == 1, "").when(F.col("kind") == "PERSON", given).otherwise(business)
     return (
         weighed.groupBy("id", "kind", "part", "initial")
         .agg(items)
-        .select("id", "kind", "part", "initial", F.col("items")[0]["word"].alias("core"), label.alias("label"))
+        .select("*", F.posexplode(cores).alias("turn", "c"))
+        .select("id", "kind", "part", "initial", F.col("c.word").alias("core"), label.alias("label"), (F.col("turn") == 0).alias("usual"))
     )
 
 
 def _learned(forms: DataFrame, merged: DataFrame, listed_full: DataFrame) -> DataFrame:
     """kind, label, longer: short forms that the data show, for labels that the alias list doesn't explain."""
+    forms = forms.filter("usual")
     labels = forms.filter("label <> ''").select("kind", "core", "label").distinct()
     met = labels.join(labels.withColumnRenamed("label", "longer"), ["kind", "core"]).filter("label <> longer")
     cores = met.groupBy("kind", "label").agg(F.count_distinct("core").alias("cores"))
