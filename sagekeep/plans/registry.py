@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from sagekeep.plans import references
+from sagekeep.plans import graph, references
 
-MODULES = [references]
+MODULES = [graph, references]
 
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
