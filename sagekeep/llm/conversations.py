@@ -18,7 +18,7 @@ holds a great part of all lines needs no more than that for each of them.
 Defined results: null and blank lines are ignored; lines without a session belong
 to none; lines that repeat a line_id are one; lines without a uuid are their own;
 a message that is no object counts as none; a null block type counts as absent;
-lines without an arrival time are kept; a session of one turn of each role is
+lines without an arrival time are kept, those without a line_id are left out; a session of one turn of each role is
 sound; an empty table gives no rows; further columns are ignored.
 """
 
@@ -27,11 +27,11 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import struct
 from collections.abc import Iterator
 from datetime import UTC, datetime, timedelta
 from urllib.parse import urlparse
 
-import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -45,8 +45,9 @@ WATERMARK, CLOSED_AFTER, REMEMBERED = timedelta(days=2), timedelta(hours=12), ti
 END = 7_258_118_400_000
 SKIPPED, BROKEN, USER, ASSISTANT = 0, 1, 2, 3
 ROLES = {"user": USER, "assistant": ASSISTANT}
-LINE = np.dtype([("line_id", "<i8"), ("moment", "<i8"), ("code", "i1"), ("uuid", "V16")])
-PARSED = "session_id string, line_id long, moment long, code int, uuid binary, received_at timestamp"
+#: What the state keeps of a line: line_id, moment, code, and a digest of what identifies it.
+LINE = "<qqb16s"
+PARSED = "session_id string, line binary, received_at timestamp"
 EPOCH = datetime(1970, 1, 1, tzinfo=UTC)
 
 
@@ -104,22 +105,21 @@ def parsed(lines: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sessions, ids, raws = (batch.column(i).to_pylist() for i in range(3))
-            keep, codes, moments, uuids = [], [], [], []
+            keep, packed = [], []
             for row, (session, line_id, raw) in enumerate(zip(sessions, ids, raws, strict=True)):
-                code, moment, uuid = SKIPPED, 0, None
+                line = b""
                 if session is not None:
-                    if raw is None or not raw.strip():
+                    if raw is None or line_id is None or not raw.strip():
                         continue
                     code, moment, uuid = parse_line(raw)
-                name = f"line {line_id}" if uuid is None or uuid == "" else f"uuid {json.dumps(uuid, sort_keys=True)}"
+                    name = f"line {line_id}" if uuid is None or uuid == "" else f"uuid {json.dumps(uuid, sort_keys=True)}"
+                    digest = hashlib.blake2b(name.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+                    line = struct.pack(LINE, line_id, moment, code, digest)
                 keep.append(row)
-                codes.append(code)
-                moments.append(moment)
-                uuids.append(hashlib.blake2b(name.encode("utf-8", "surrogatepass"), digest_size=16).digest())
+                packed.append(line)
             at = pa.array(keep, pa.int64())
-            columns = [batch.column(0).take(at), batch.column(1).take(at), pa.array(moments, pa.int64())]
-            columns += [pa.array(codes, pa.int32()), pa.array(uuids, pa.binary()), batch.column(3).take(at)]
-            yield pa.RecordBatch.from_arrays(columns, names=["session_id", "line_id", "moment", "code", "uuid", "received_at"])
+            columns = [batch.column(0).take(at), pa.array(packed, pa.binary()), batch.column(3).take(at)]
+            yield pa.RecordBatch.from_arrays(columns, names=["session_id", "line", "received_at"])
 
     picked = lines.select(
         F.col("session_id").cast("string").alias("session_id"),
@@ -130,19 +130,26 @@ def parsed(lines: DataFrame) -> DataFrame:
     return picked.mapInArrow(run, PARSED)
 
 
-def sound_turns(lines: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+def sound_turns(blob: bytes) -> tuple[list[int], list[int]] | None:
     """turn_no and line_id of each usable line of a sound session, else None."""
-    lines = lines[np.argsort(lines["line_id"], kind="stable")]
-    lines = lines[np.sort(np.unique(lines["uuid"], return_index=True)[1])]
-    lines = lines[np.sort(np.unique(lines["line_id"], return_index=True)[1])]
-    if (lines["code"] == BROKEN).any():
-        return None
-    usable = lines[lines["code"] >= USER]
-    usable = usable[np.lexsort((usable["line_id"], usable["moment"]))]
-    roles = usable["code"]
-    if not len(usable) or roles[0] != USER or roles[-1] != ASSISTANT:
+    seen, usable = set(), []
+    for line_id, moment, code, digest in sorted(struct.iter_unpack(LINE, blob)):
+        if digest in seen or line_id in seen:
+            continue
+        seen |= {digest, line_id}
+        if code == BROKEN:
+            return None
+        if code != SKIPPED:
+            usable.append((moment, line_id, code))
+    usable.sort()
+    if not usable or usable[0][2] != USER or usable[-1][2] != ASSISTANT:
         return None
-    return np.cumsum(np.r_[True, roles[1:] != roles[:-1]]), usable["line_id"]
+    turns, turn, role = [], 0, None
+    for _, _, code in usable:
+        turn += code != role
+        role = code
+        turns.append(turn)
+    return turns, [line_id for _, line_id, _ in usable]
 
 
 def keep_session(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -155,7 +162,7 @@ def keep_session(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState)
         else:
             state.update((b"", latest, True))
             state.setTimeoutTimestamp(watermark + int(REMEMBERED.total_seconds() * 1000))
-        turns = None if closed else sound_turns(np.frombuffer(blob, LINE))
+        turns = None if closed else sound_turns(bytes(blob))
         if turns is not None:
             yield pd.DataFrame({"session_id": key[0], "turn_no": turns[0], "line_id": turns[1]})
         return
@@ -164,13 +171,8 @@ def keep_session(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState)
     for pdf in batches:
         if key[0] is None or closed:
             continue
-        lines = np.zeros(len(pdf), LINE)
-        for name in ("line_id", "moment", "code"):
-            lines[name] = pdf[name].to_numpy()
-        lines["uuid"] = np.frombuffer(b"".join(pdf["uuid"]), "V16")
-        parts.append(lines.tobytes())
-        if pdf["received_at"].notna().any():
-            latest = max(latest, int(pdf["received_at"].max().timestamp() * 1000))
+        parts.extend(pdf["line"])
+        latest = max(latest, int(pdf["at"].max()))
     if key[0] is None or closed:
         return
     state.update((b"".join(parts), latest, False))
@@ -182,6 +184,7 @@ def conversation_stream(lines: DataFrame, watermark: timedelta = WATERMARK) -> D
     return (
         parsed(lines)
         .withWatermark("received_at", f"{int(watermark.total_seconds())} seconds")
+        .withColumn("at", F.coalesce(F.unix_millis("received_at"), F.lit(0)))
         .groupBy("session_id")
         .applyInPandasWithState(
             keep_session,
