@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from sagekeep.plans import graph, references
+from sagekeep.plans import graph, references, text, write
 
-MODULES = [graph, references]
+#: ``text`` and ``write`` register their queries with ``graph``.
+MODULES = [graph, references, text, write]
 
-QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
-ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
+QUERIES = {name: query for module in MODULES for name, query in getattr(module, "QUERIES", {}).items()}
+ORACLES = {name: sql for module in MODULES for name, sql in getattr(module, "ORACLES", {}).items()}
