@@ -161,6 +161,11 @@ def blocks_of(rows: int, parallelism: int) -> int:
     return max(1, math.ceil(rows / BLOCK_ROWS), min(math.ceil(math.sqrt(6 * parallelism)), math.ceil(rows / 2_000)))
 
 
+def spread(tiles: int) -> int:
+    """Partitions for so many tiles: several for each, so that few tiles share one."""
+    return min(8 * tiles, max(tiles, 20_000))
+
+
 def pack(df: DataFrame, blocks: int, rows: int) -> DataFrame:
     """block, ids, vectors (bytes) and orders: matrices of about PACK_ROWS rows of (id, vector, order)."""
     packs = max(1, math.ceil(rows / blocks / PACK_ROWS))
@@ -230,7 +235,7 @@ def nearest(distinct: DataFrame, k: int, min_similarity: float = -1.0, dim: int
         lambda i: F.struct((i * blocks + block).alias("tile"), F.lit(1).alias("side")),
     )
     tiles = packs.withColumn("t", F.explode(F.concat(as_left, as_right))).select("t.tile", "t.side", "ids", "vectors", "orders")
-    by_tile = tiles.repartition(min(blocks * (blocks + 1) // 2, 20_000), "tile").groupBy("tile")
+    by_tile = tiles.repartition(spread(blocks * (blocks + 1) // 2), "tile").groupBy("tile")
     partial = by_tile.applyInPandas(
         lambda part: best_in_tile(part, k, min_similarity, dim), "id string, other string, similarity double"
     )
@@ -334,7 +339,7 @@ def match(
     partial = (
         as_left.withColumn("side", F.lit(0))
         .unionByName(as_right.withColumn("side", F.lit(1)))
-        .repartition(min(blocks[0] * blocks[1], 20_000), "tile")
+        .repartition(spread(blocks[0] * blocks[1]), "tile")
         .groupBy("tile")
         .applyInPandas(
             lambda part: match_in_tile(part, min_similarity, earlier, first, dim),
