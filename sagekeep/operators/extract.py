@@ -80,7 +80,8 @@ def embed_texts(df: DataFrame, text_col: str, embedder: Embedder, dim: int, lowe
         vectors = embedder.embed(known.tolist())
         if any(len(v) != dim for v in vectors):
             raise ValueError(f"the model gave a vector that isn't of length {dim}")
-        return pd.Series(vectors, index=known.index, dtype=object).reindex(texts.index)
+        given = iter(vectors)
+        return pd.Series([next(given) if there else None for there in texts.notna()], dtype=object)
 
     text = F.lower(text_col) if lower else F.col(text_col)
     return df.withColumn("vector", run(text if most_chars is None else F.substring(text, 1, most_chars)))

@@ -14,7 +14,17 @@ DATA = "/root/testdata"
 def spark():
     from sagekeep.runtime import build_session
 
-    session = build_session("tests", 8, **{"spark.sql.shuffle.partitions": "4", "spark.driver.memory": "6g"})
+    # Small tables spend their time in compiling and scheduling; neither is needed here.
+    quick = {
+        "spark.sql.shuffle.partitions": "2",
+        "spark.driver.memory": "6g",
+        "spark.sql.codegen.wholeStage": "false",
+        "spark.sql.codegen.factoryMode": "NO_CODEGEN",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.default.parallelism": "2",
+        "spark.sql.sources.parallelPartitionDiscovery.threshold": "1000",
+    }
+    session = build_session("tests", 4, **quick)
     yield session
     session.stop()
 
