@@ -8,9 +8,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sagekeep.functions import scores
+from sagekeep.functions.format import explained_block
 from sagekeep.functions.text import content_hash, norm_key, normalise_content, preview
 from sagekeep.operators import retrieval, vector
 from sagekeep.operators.graph import Graph, confident
+from sagekeep.operators.ontology import Ontology, checked_types
 from sagekeep.plans.sql import BOOST, CONFIDENCE, DEGREES, DIM, MOMENT, QUERY_VECTOR, STRENGTH, query, similarity
 from sagekeep.schemas import constraint_report
 
@@ -414,3 +416,21 @@ def norm_keys(g: Graph) -> DataFrame:
 @register(query("g", "SELECT edge_id, CASE WHEN length(evidence) > 40 THEN substr(evidence, 1, 37) || '...' ELSE evidence END AS evidence FROM g"))
 def truncate_preview(g: Graph) -> DataFrame:
     return g.edges.select("edge_id", preview("evidence", 40).alias("evidence"))
+
+
+_KNOWN = ("PERSON", "ORG", "SYSTEM", "PROJECT", "PLACE", "CONCEPT", "TOOL")
+
+
+@register(query("e", f"""SELECT id, CASE upper(trim(entity_type)) WHEN 'SKILL' THEN 'TOOL' ELSE upper(trim(entity_type)) END AS resolved_type,
+  upper(trim(entity_type)) IN ('SKILL', {", ".join(f"'{k}'" for k in _KNOWN)}) AS is_known FROM e WHERE entity_type IS NOT NULL"""))
+def entity_type_check(g: Graph) -> DataFrame:
+    types = [{"name": k, "synonyms": [" skill "] if k == "TOOL" else []} for k in _KNOWN]
+    found = checked_types(g.entities.filter("entity_type IS NOT NULL"), Ontology.of(types))
+    return found.select("id", "resolved_type", "is_known")
+
+
+@register(None)
+def recall_explained(g: Graph) -> DataFrame:
+    """The recall of the query vector with the reasons of each score, as text."""
+    found = retrieval.recall(g, _query(g), moment())
+    return found.select("id", explained_block(moment()).alias("block"))
