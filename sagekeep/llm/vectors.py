@@ -40,8 +40,8 @@ from sagekeep.runtime import materialise
 DIM = 64
 #: Rows of a block at most, and rows that are packed into one matrix for the shuffle.
 BLOCK_ROWS, PACK_ROWS = 131_072, 4_096
-#: Rows and columns of one product.
-TILE_ROWS, TILE_COLUMNS = 1_024, 8_192
+#: Rows and columns of one product; a tile of this size stays in a core's cache.
+TILE_ROWS, TILE_COLUMNS = 512, 1_024
 DECIMALS = 12
 
 
