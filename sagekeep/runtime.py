@@ -18,6 +18,9 @@ WHITESPACE = (
 )
 
 
+#: Folders made for applications whose session names none.
+_OWN_ROOTS: dict[str, str] = {}
+
 #: Applications whose workers have this package already.
 _SHIPPED: set[str] = set()
 
@@ -65,8 +68,10 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", root)
+        own = spark.sparkContext.applicationId
+        if own not in _OWN_ROOTS:
+            _OWN_ROOTS[own] = "file://" + tempfile.mkdtemp(prefix="spark-")
+        root = _OWN_ROOTS[own]
     return f"{root.rstrip('/')}/sagekeep-{purpose}-{uuid.uuid4().hex}"
 
 
