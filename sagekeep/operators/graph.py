@@ -15,6 +15,17 @@ from pyspark.sql import functions as F
 from sagekeep.runtime import read_table
 
 
+#: The key of each table's records, and what tells their versions apart, newest first.
+VERSIONS = {
+    "memories": ("id", ("last_seen_at", "reinforce_count")),
+    "entities": ("id", ("created_at",)),
+    "edges": ("edge_id", ("t_created",)),
+    "memory_events": ("event_id", ("occurred_at",)),
+    "chunks": ("chunk_id", ("created_at",)),
+    "sources": ("source_id", ("ingested_at",)),
+}
+
+
 def newest_version(df: DataFrame, key: str, *order: Column) -> DataFrame:
     """One row for each key, the first by ``order``; rows without a key are left out."""
     rank = F.row_number().over(W.partitionBy(key).orderBy(*order))
@@ -35,44 +46,59 @@ class Graph:
     def table(self, name: str) -> DataFrame:
         return self.frames[name] if name in self.frames else read_table(self.spark, self.root, name)
 
-    @cached_property
-    def memories(self) -> DataFrame:
+    def view(self, name: str, where: Column | str | None = None) -> DataFrame:
+        """The records of a table, each once, of which ``where`` holds.
+
+        The versions of a record agree in all columns but a memory's last_seen_at
+        and reinforce_count, so conditions on other columns are applied before the
+        versions are told apart: they reach the scan, and less is exchanged.
+        """
+        key, order = VERSIONS[name]
+        rows = self.table(name)
+        rows = rows if where is None else rows.filter(where)
+        return newest_version(rows, key, *(F.desc_nulls_last(column) for column in order))
+
+    def memory_view(self, where: Column | str | None = None) -> DataFrame:
         """Memories, with the defaults of missing kind, stability and count."""
-        rows = newest_version(
-            self.table("memories"), "id", F.desc_nulls_last("last_seen_at"), F.desc_nulls_last("reinforce_count")
-        )
         return (
-            rows.withColumn("kind", F.coalesce("kind", F.lit("MEMORY")))
+            self.view("memories", where)
+            .withColumn("kind", F.coalesce("kind", F.lit("MEMORY")))
             .withColumn("temporal_stability", F.coalesce("temporal_stability", F.lit("unknown")))
             .withColumn("reinforce_count", F.coalesce("reinforce_count", F.lit(0)))
         )
 
+    def edge_view(self, where: Column | str | None = None) -> DataFrame:
+        """Edges; a missing weight is 1, other weights (0 too) stay."""
+        return self.view("edges", where).withColumn("weight", F.coalesce("weight", F.lit(1.0)))
+
+    @cached_property
+    def memories(self) -> DataFrame:
+        return self.memory_view()
+
     @cached_property
     def entities(self) -> DataFrame:
-        return newest_version(self.table("entities"), "id", F.desc_nulls_last("created_at"))
+        return self.view("entities")
 
     @cached_property
     def edges(self) -> DataFrame:
-        """Edges; a missing weight is 1, other weights (0 too) stay."""
-        rows = newest_version(self.table("edges"), "edge_id", F.desc_nulls_last("t_created"))
-        return rows.withColumn("weight", F.coalesce("weight", F.lit(1.0)))
+        return self.edge_view()
 
     @cached_property
     def events(self) -> DataFrame:
-        return newest_version(self.table("memory_events"), "event_id", F.desc_nulls_last("occurred_at"))
+        return self.view("memory_events")
 
     @cached_property
     def chunks(self) -> DataFrame:
-        return newest_version(self.table("chunks"), "chunk_id", F.desc_nulls_last("created_at"))
+        return self.view("chunks")
 
     @cached_property
     def sources(self) -> DataFrame:
-        return newest_version(self.table("sources"), "source_id", F.desc_nulls_last("ingested_at"))
+        return self.view("sources")
 
     # Scans and filters
 
     def active_memories(self) -> DataFrame:
-        return self.memories.filter("t_expired IS NULL")
+        return self.memory_view("t_expired IS NULL")
 
     def listed_memories(self, include_expired: bool = False, limit: int | None = None) -> DataFrame:
         """The columns of a listing, newest first."""
@@ -82,12 +108,13 @@ class Graph:
 
     def by_id(self, table: str, key: str, value: str) -> DataFrame:
         """The one record of an id; the filter reaches the scan."""
-        view = {"memories": "memories", "entities": "entities", "edges": "edges", "chunks": "chunks", "sources": "sources"}
-        return getattr(self, view[table]).filter(F.col(key) == value)
+        views = {"memories": self.memory_view, "edges": self.edge_view}
+        where = F.col(key) == value
+        return views[table](where) if table in views else self.view(table, where)
 
     def active_entities(self, entity_type: str | None = None) -> DataFrame:
-        rows = self.entities.filter("expired_at IS NULL")
-        return rows if entity_type is None else rows.filter(F.col("entity_type") == entity_type)
+        where = F.col("expired_at").isNull()
+        return self.view("entities", where if entity_type is None else where & (F.col("entity_type") == entity_type))
 
     def entities_by_key(self, keys: DataFrame, include_expired: bool = False) -> DataFrame:
         """For each of ``keys`` (norm_key) the entity of that key, the earliest where there are several."""
@@ -96,8 +123,8 @@ class Graph:
         return keys.select("norm_key").distinct().join(first, "norm_key", "left")
 
     def active_edges(self, *kinds: str) -> DataFrame:
-        rows = self.edges.filter("t_expired IS NULL")
-        return rows.filter(F.col("edge_type").isin(*kinds)) if kinds else rows
+        where = F.col("t_expired").isNull()
+        return self.edge_view(where & F.col("edge_type").isin(*kinds) if kinds else where)
 
     def affects(self) -> DataFrame:
         """Events seen as edges to their memories: without weight, confidence and expiry."""
@@ -111,9 +138,8 @@ class Graph:
 
     def events_of_memories(self, limit: int = 100, reinforcing: bool = False) -> DataFrame:
         """The newest ``limit`` events of each memory, newest first; all of reinforcing ones where asked for."""
-        rows = self.events.filter("memory_id IS NOT NULL")
-        if reinforcing:
-            rows = rows.filter(F.col("event_type").startswith("REINFORCE"))
+        where = F.col("memory_id").isNotNull()
+        rows = self.view("memory_events", where & F.col("event_type").startswith("REINFORCE") if reinforcing else where)
         rank = F.row_number().over(W.partitionBy("memory_id").orderBy(F.desc("occurred_at"), "event_id"))
         return rows.withColumn("place", rank).filter(F.col("place") <= limit)
 
@@ -121,7 +147,7 @@ class Graph:
         """Active memories without any MENTIONS edge, expired ones included; oldest first."""
         rows = self.active_memories()
         if not reprocess:
-            linked = self.edges.filter("edge_type = 'MENTIONS'").select(F.col("from_node").alias("id"))
+            linked = self.edge_view("edge_type = 'MENTIONS'").select(F.col("from_node").alias("id"))
             rows = rows.join(linked, "id", "left_anti")
         return rows.orderBy("created_at", "id")
 
@@ -131,19 +157,19 @@ class Graph:
 
     def latest_file_sources(self) -> DataFrame:
         """path, source_id: of the file sources of one path the one ingested last."""
-        files = self.sources.filter("source_type = 'file' AND path IS NOT NULL")
+        files = self.view("sources", "source_type = 'file' AND path IS NOT NULL")
         return files.groupBy("path").agg(F.max_by("source_id", F.struct("ingested_at", "source_id")).alias("source_id"))
 
     # Joins along edges
 
     def along(self, kind: str, include_expired: bool = False, least: float | None = None) -> DataFrame:
         """from_node, to_node, weight, confidence, t_created of one kind of edge."""
-        rows = self.edges.filter(F.col("edge_type") == kind)
+        where = F.col("edge_type") == kind
         if not include_expired:
-            rows = rows.filter("t_expired IS NULL")
+            where &= F.col("t_expired").isNull()
         if least is not None:
-            rows = rows.filter(confident(least))
-        return rows.select("edge_id", "from_node", "to_node", "weight", "confidence", "t_created")
+            where &= confident(least)
+        return self.edge_view(where).select("edge_id", "from_node", "to_node", "weight", "confidence", "t_created")
 
     def chunk_members(self, include_expired: bool = False) -> DataFrame:
         """chunk_id, id, kind of the memories that each chunk contains."""
@@ -165,8 +191,8 @@ class Graph:
 
     def artifact_summaries(self) -> DataFrame:
         """artifact_ref, id: the latest summary that an event of an artifact made."""
-        made = self.events.filter("event_type = 'SUMMARY_CREATED' AND artifact_ref IS NOT NULL")
-        summaries = self.memories.filter("kind = 'SUMMARY'").select("id", "created_at")
+        made = self.view("memory_events", "event_type = 'SUMMARY_CREATED' AND artifact_ref IS NOT NULL")
+        summaries = self.memory_view("kind = 'SUMMARY'").select("id", "created_at")
         found = made.select("artifact_ref", F.col("memory_id").alias("id")).join(summaries, "id")
         return found.groupBy("artifact_ref").agg(F.max_by("id", F.struct("created_at", "id")).alias("id"))
 
@@ -224,7 +250,7 @@ class Graph:
 
     def reinforcement_state(self) -> DataFrame:
         """id, reinforcements, last_seen_at derived from the event log rather than from stored counters."""
-        rows = self.events.filter(F.col("event_type").startswith("REINFORCE") & F.col("memory_id").isNotNull())
+        rows = self.view("memory_events", F.col("event_type").startswith("REINFORCE") & F.col("memory_id").isNotNull())
         return rows.groupBy(F.col("memory_id").alias("id")).agg(
             F.count(F.lit(1)).alias("reinforcements"), F.max("occurred_at").alias("last_seen_at")
         )
