@@ -60,6 +60,13 @@ def char_chunks(g: Graph) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "sequence_no", "start_char", "length_chars")
 
 
+@register(None)
+def char_chunks_by_one(g: Graph) -> DataFrame:
+    """Documents cut by characters with the least step of the surveyed system, which lets chunks crawl."""
+    found = chunking.char_chunks(g.table("documents"), "doc_id", "text", 800, 100, least_step=1)
+    return found.select(F.col("id").alias("doc_id"), "sequence_no", "start_char", "length_chars")
+
+
 @register(None)
 def block_chunks(g: Graph) -> DataFrame:
     """Sessions cut to chunks of whole blocks; tested against a plain scan."""

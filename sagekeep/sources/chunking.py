@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 #: Places to end a chunk at, the most wanted first.
 BREAKS = ("\n\n", "\n", " ")
+BLANKS = "\n "
 GAP = 2
 
 
@@ -23,7 +24,10 @@ def char_spans(text: str, size: int, overlap: int, least_step: int = 1) -> Itera
     A chunk ends at the last paragraph, line or word break within ``size``
     characters, whichever kind is found first. The next one starts ``overlap``
     before that end, but at least ``least_step`` further on; with a step of 1 a
-    break near the start of a window makes the chunks crawl.
+    break near the start of a window makes the chunks crawl. With a larger step a
+    chunk that ends sooner is followed at its end, so that no text is left out;
+    a break counts only behind the blanks that a window starts with, so that each
+    chunk moves on.
     """
     start = 0
     while start < len(text) or start == 0:
@@ -31,10 +35,13 @@ def char_spans(text: str, size: int, overlap: int, least_step: int = 1) -> Itera
         if limit >= len(text):
             yield start, len(text) - start
             return
-        found = (text.rfind(mark, start, limit) for mark in BREAKS)
+        said = start
+        while least_step > 1 and said < limit and text[said] in BLANKS:
+            said += 1
+        found = (text.rfind(mark, said, limit) for mark in BREAKS)
         end = next((at for at in found if at >= 0), limit)
         yield start, end - start
-        start = max(start + least_step, end - overlap)
+        start = max(start + 1, min(end, max(start + least_step, end - overlap)))
 
 
 def char_chunks(df: DataFrame, id_col: str, text_col: str, size: int = 20_000, overlap: int = 500, least_step: int = 1) -> DataFrame:

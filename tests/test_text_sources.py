@@ -39,6 +39,21 @@ def test_chunks_cover_the_text(text, size, overlap):
     assert all(text[i] in " \n" for i in set(range(len(text))) - covered)
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="aab \n", max_size=300), st.integers(5, 40), st.integers(0, 4), st.integers(2, 30))
+def test_larger_steps_leave_no_text_out(text, size, overlap, least_step):
+    covered = set()
+    for start, length in chunking.char_spans(text, size, overlap, least_step):
+        assert length <= size and (length > 0 or not text)
+        covered |= set(range(start, start + length))
+    assert covered == set(range(len(text)))
+
+
+def test_step_past_an_early_break():
+    text = "a" * 20 + "\n\n" + "b" * 200
+    assert list(chunking.char_spans(text, 100, 10, least_step=60)) == [(0, 20), (20, 100), (110, 100), (200, 22)]
+
+
 def pack(spark, blocks, size, overlap):
     rows = [("k", i, b, None) for i, b in enumerate(blocks)]
     frame = spark.createDataFrame(rows, "k string, i long, b string, t timestamp")
