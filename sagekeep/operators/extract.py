@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sagekeep.functions.text import evidence, identifier, norm_key, preview
+from sagekeep.operators.skew import salted_join
 
 
 class Embedder(Protocol):
@@ -170,7 +171,7 @@ def parse_forced(values: list[str]) -> list[tuple[str, str]]:
 
 
 def summary_texts(members: DataFrame, most_bullets: int = 10, least: int = 2) -> DataFrame:
-    """chunk_id, text, memory_ids: an extractive summary of each chunk with at least ``least`` memories.
+    """chunk_id, text, memory_ids: an extractive summary of each chunk with at least ``least`` memories, and those it shows.
 
     ``members`` has chunk_id, id, content and created_at. The earliest memories
     give one bullet each, their first sentence; only those are gathered, not the
@@ -190,10 +191,16 @@ def summary_texts(members: DataFrame, most_bullets: int = 10, least: int = 2) ->
     )
 
 
-def summary_edges(summaries: DataFrame) -> DataFrame:
-    """from_node, to_node, edge_type: a summary to its memories, and its chunk to it both ways of saying it."""
+def summary_edges(summaries: DataFrame, members: DataFrame) -> DataFrame:
+    """from_node, to_node, edge_type: a summary to all memories of its chunk, and its chunk to it both ways of saying it.
+
+    ``members`` has chunk_id and id. A text shows a few memories of its chunk only;
+    the links are a join, which nothing gathers, and a chunk that holds a great
+    part of the memories is spread.
+    """
     summary = identifier("mem_", F.lit("summary"), "chunk_id")
-    rows = summaries.select("chunk_id", summary.alias("summary"), "memory_ids")
-    cites = rows.select(F.col("summary").alias("from_node"), F.explode("memory_ids").alias("to_node"), F.lit("SUMMARIZES").alias("edge_type"))
+    rows = summaries.select("chunk_id", summary.alias("summary"))
+    linked = salted_join(members.select("chunk_id", "id").distinct(), rows, "chunk_id", "id")
+    cites = linked.select(F.col("summary").alias("from_node"), F.col("id").alias("to_node"), F.lit("SUMMARIZES").alias("edge_type"))
     kinds = F.explode(F.array(F.lit("CONTAINS"), F.lit("SUMMARIZED_BY"))).alias("edge_type")
     return cites.unionByName(rows.select(F.col("chunk_id").alias("from_node"), F.col("summary").alias("to_node"), kinds))

@@ -91,7 +91,7 @@ def ingest(spark: SparkSession, store: Store, documents: DataFrame, moment: Colu
     linked = extract.mention_edges(mentions, stored, config.least_entity_confidence).withColumn("edge_type", F.lit("MENTIONS"))
     chunk_links = linked.join(memories.select(F.col("id").alias("from_node"), "chunk_id"), "from_node").groupBy(F.col("chunk_id").alias("from_node"), "to_node")
     chunk_links = chunk_links.agg(F.max("confidence").alias("confidence")).withColumn("edge_type", F.lit("LINKED"))
-    more = [provenance, linked, chunk_links, extract.summary_edges(summaries)]
+    more = [provenance, linked, chunk_links, extract.summary_edges(summaries, memories.select("chunk_id", "id"))]
     added = None
     for part in more:
         rows = _edges(part, moment)

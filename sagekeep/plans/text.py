@@ -101,7 +101,8 @@ def summary_render(g: Graph) -> DataFrame:
 @register(None)
 def summary_links(g: Graph) -> DataFrame:
     members = g.chunk_members().select("chunk_id", "id", "created_at").join(g.memories.select("id", "content"), "id")
-    return extract.summary_edges(extract.summary_texts(members))
+    members = materialise(members, "chunk-members")
+    return extract.summary_edges(extract.summary_texts(members), members)
 
 
 @register(None)

@@ -54,6 +54,26 @@ def test_models_can_be_replaced(spark, rows):
         extract.embed_texts(frame, "text", extract.HashedEmbedder(8), 9).collect()
 
 
+def test_summaries_link_all_memories_of_a_chunk(spark):
+    members = [("full", f"m{i:02d}", f"Content {i}. More.", T0) for i in range(13)] + [("two", "m00", "a", T0), ("two", "n", None, T0), ("one", "m01", "b", T0)]
+    members = spark.createDataFrame(members, "chunk_id string, id string, content string, created_at timestamp")
+    texts = extract.summary_texts(members)
+    assert {r.chunk_id: len(r.memory_ids) for r in texts.collect()} == {"full": 10, "two": 2}
+    edges = extract.summary_edges(texts, members)
+    names = {r.to_node: r.from_node for r in edges.filter("edge_type = 'SUMMARIZED_BY'").collect()}
+    cited = {(names[r.from_node], r.to_node) for r in edges.filter("edge_type = 'SUMMARIZES'").collect()}
+    assert cited == {("full", f"m{i:02d}") for i in range(13)} | {("two", "m00"), ("two", "n")}
+    assert edges.count() == 15 + 2 * 2
+
+
+def test_a_batch_links_its_summary_to_all_memories(spark, store):
+    words = ["river", "castle", "engine", "violin", "glacier", "market", "orchard", "compass", "lantern", "harbour", "tunnel", "blanket"]
+    text = " ".join(f"{w.title() * 3} {w[::-1] * 3} {w * 2}." for w in words)
+    counts = {r.outcome: r["rows"] for r in ingest(spark, store, documents(spark, text), F.lit(T0).cast("timestamp")).collect()}
+    assert counts == {"INSERTED_NEW": 12}
+    assert store.read("edges").filter("edge_type = 'SUMMARIZES'").count() == 12
+
+
 def test_forced_entities():
     assert extract.parse_forced(["person:Al B", "PERSON: al b", "ORG:X:Y"]) == [("Al B", "PERSON"), ("X:Y", "ORG")]
     for bad in ("noname", "PERSON:", ":x"):
