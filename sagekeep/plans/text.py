@@ -23,19 +23,47 @@ parts AS (SELECT session_id, line_id, role, 0 AS pos, trim(content->>'$', concat
 blocks AS (SELECT session_id, line_id, role || ': ' || string_agg(text, chr(10) ORDER BY pos) AS block FROM parts WHERE role IN ('user', 'assistant') AND text <> '' GROUP BY session_id, line_id, role)"""
 
 
+#: The same with each line of a session once by its uuid, the smallest line_id of it.
+_ONCE = _LINES.replace("lines AS (", "sent AS (", 1).replace("said AS (", """lines AS (SELECT session_id, line_id, doc FROM sent QUALIFY row_number() OVER (
+  PARTITION BY session_id, CASE WHEN coalesce(doc->'$.uuid', 'null') IN ('null', '""') THEN 'line ' || line_id ELSE 'uuid ' || (doc->'$.uuid') END ORDER BY line_id) = 1),
+said AS (""", 1)
+_BLOCKS = "SELECT session_id, line_id, block FROM blocks"
+_TEXT = "SELECT session_id, string_agg(block, chr(10) || chr(10) ORDER BY line_id) AS text, count(*) AS blocks FROM blocks GROUP BY session_id"
+_ASKED = """texts AS (SELECT session_id, string_agg(block, chr(10) || chr(10) ORDER BY line_id) AS text FROM blocks GROUP BY session_id)
+  SELECT session_id, CASE WHEN length(text) > 500 THEN '...' || right(text, 497) ELSE text END AS query FROM texts"""
+
+
+# The first three queries tell lines apart by line_id only, as their SQL does; those named _once count a line by its uuid too.
+
+
 @register(f"WITH {_LINES} SELECT session_id, line_id, block FROM blocks")
 def session_blocks(g: Graph) -> DataFrame:
-    return sessions.session_blocks(g.table("session_lines")).select("session_id", "line_id", "block")
+    return sessions.session_blocks(g.table("session_lines"), by_uuid=False).select("session_id", "line_id", "block")
 
 
 @register(f"WITH {_LINES} SELECT session_id, string_agg(block, chr(10) || chr(10) ORDER BY line_id) AS text, count(*) AS blocks FROM blocks GROUP BY session_id")
 def session_text(g: Graph) -> DataFrame:
-    return sessions.session_texts(sessions.session_blocks(g.table("session_lines")))
+    return sessions.session_texts(sessions.session_blocks(g.table("session_lines"), by_uuid=False))
 
 
 @register(f"""WITH {_LINES}, texts AS (SELECT session_id, string_agg(block, chr(10) || chr(10) ORDER BY line_id) AS text FROM blocks GROUP BY session_id)
   SELECT session_id, CASE WHEN length(text) > 500 THEN '...' || right(text, 497) ELSE text END AS query FROM texts""")
 def recall_queries(g: Graph) -> DataFrame:
+    return sessions.recall_queries(sessions.session_texts(sessions.session_blocks(g.table("session_lines"), by_uuid=False)))
+
+
+@register(f"WITH {_ONCE} {_BLOCKS}")
+def session_blocks_once(g: Graph) -> DataFrame:
+    return sessions.session_blocks(g.table("session_lines")).select("session_id", "line_id", "block")
+
+
+@register(f"WITH {_ONCE} {_TEXT}")
+def session_text_once(g: Graph) -> DataFrame:
+    return sessions.session_texts(sessions.session_blocks(g.table("session_lines")))
+
+
+@register(f"WITH {_ONCE}, {_ASKED}")
+def recall_queries_once(g: Graph) -> DataFrame:
     return sessions.recall_queries(sessions.session_texts(sessions.session_blocks(g.table("session_lines"))))
 
 

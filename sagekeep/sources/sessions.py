@@ -78,10 +78,23 @@ def message_texts(parsed: DataFrame, key: list[str], config: SessionConfig = Ses
     return said.groupBy(*key, "role").agg(F.array_join(F.transform(parts, lambda p: p["text"]), "\n").alias("text"))
 
 
-def session_blocks(lines: DataFrame, config: SessionConfig = SessionConfig()) -> DataFrame:
-    """session_id, line_id, block, stamp: one ``role: text`` block for each line that counts, lines sent once by their id."""
+def lines_once(parsed: DataFrame) -> DataFrame:
+    """Each line of a session once by its uuid, the one with the smallest line_id; lines without a uuid all stay."""
+    uuid = F.to_json(F.try_variant_get("document", "$.uuid", "variant"))
+    name = F.when(uuid.isNull() | uuid.isin("null", '""'), F.concat(F.lit("line "), F.col("line_id"))).otherwise(F.concat(F.lit("uuid "), uuid))
+    rank = F.row_number().over(W.partitionBy("session_id", "name").orderBy("line_id"))
+    return parsed.withColumn("name", name).withColumn("rank", rank).filter("rank = 1").drop("name", "rank")
+
+
+def session_blocks(lines: DataFrame, config: SessionConfig = SessionConfig(), by_uuid: bool = True) -> DataFrame:
+    """session_id, line_id, block, stamp: one ``role: text`` block for each line that counts.
+
+    Lines sent again count once by their id, and with ``by_uuid`` also once by
+    their uuid, as they may come again under a new id.
+    """
     once = lines.filter("raw_line IS NOT NULL AND line_id IS NOT NULL").dropDuplicates(["line_id"])
     parsed = parsed_lines(once).filter("document IS NOT NULL")
+    parsed = lines_once(parsed) if by_uuid else parsed
     texts = message_texts(parsed, ["session_id", "line_id", "stamp"], config)
     return texts.select("session_id", "line_id", F.concat_ws(": ", "role", "text").alias("block"), "stamp")
 

@@ -104,6 +104,17 @@ def test_session_lines(spark):
     assert sessions.detected_formats(late).first().format == "plain"
 
 
+def test_lines_sent_again_under_a_new_id(spark):
+    said = lambda uuid, text: json.dumps({"type": "user", "content": text} | ({"uuid": uuid} if uuid != "none" else {}))
+    lines = [(5, "s", said("u", "one")), (2, "s", said("u", "one")), (3, "t", said("u", "other session")), (4, "s", said("1", "text")), (6, "s", said(1, "number"))]
+    lines += [(7 + i, "s", said(u, "kept")) for i, u in enumerate(["none", "none", None, None, "", ""])]
+    frame = spark.createDataFrame(lines, "line_id long, session_id string, raw_line string")
+    assert {r.line_id for r in sessions.session_blocks(frame).collect()} == {2, 3, 4, *range(6, 13)}
+    assert sessions.session_blocks(frame, by_uuid=False).count() == 11
+    texts = {r.session_id: r.blocks for r in sessions.session_texts(sessions.session_blocks(frame)).collect()}
+    assert texts == {"s": 9, "t": 1}
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "deep").mkdir()
     (tmp_path / "a.txt").write_text("one\ntwo\r\nthree", newline="")
