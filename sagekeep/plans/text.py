@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sagekeep.operators import extract
@@ -154,6 +154,13 @@ def hashed_embeddings(g: Graph) -> DataFrame:
 
 # Streams, run over the whole event log
 
+#: Id and moment of the record that closes a finite log; windows from that moment on aren't results.
+_END_ID = "end of the log"
+
+
+def _end() -> Column:
+    return F.lit("2200-01-01T00:00:00+00:00").cast("timestamp")
+
 
 def _run(stream: DataFrame, mode: str) -> DataFrame:
     """All available input through a stream, its output read as a table."""
@@ -167,10 +174,18 @@ def _run(stream: DataFrame, mode: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(target)
 
 
-def _event_stream(g: Graph) -> DataFrame:
-    """The event log as a stream; written once as files of its own, as a table may be a single file."""
+def _event_stream(g: Graph, closed: bool = False) -> DataFrame:
+    """The event log as a stream; written once as files of its own, as a table may be a single file.
+
+    A ``closed`` one ends with a record far in the future, so that the watermark
+    passes all windows of the log. The window of that record itself never comes out.
+    """
     folder = shared_dir(g.spark, "event-log")
     g.events.write.parquet(folder)
+    if closed:
+        known = {"event_id": F.lit(_END_ID), "memory_id": F.lit(_END_ID), "occurred_at": _end()}
+        end = [known.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in g.events.schema]
+        g.spark.range(1).select(*end).write.mode("append").parquet(folder)
     return g.spark.readStream.schema(g.events.schema).parquet(folder)
 
 
@@ -188,10 +203,11 @@ def streaming_reinforcement(g: Graph) -> DataFrame:
 
 @register(None)
 def streaming_daily_counts(g: Graph) -> DataFrame:
-    found = _run(streams.daily_counts(_event_stream(g)), "append")
+    found = _run(streams.daily_counts(_event_stream(g, closed=True)), "append").filter(F.col("day") < _end())
     return found.select(F.date_format("day", "yyyy-MM-dd").alias("day"), "event_type", "events")
 
 
 @register(None)
 def streaming_bursts(g: Graph) -> DataFrame:
-    return _run(streams.bursts(_event_stream(g)), "append").select("memory_id", F.unix_micros("first").alias("first"), "events")
+    found = _run(streams.bursts(_event_stream(g, closed=True)), "append").filter(F.col("first") < _end())
+    return found.select("memory_id", F.unix_micros("first").alias("first"), "events")

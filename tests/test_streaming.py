@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 from sagekeep.functions import format as blocks
 from sagekeep.functions.scores import reinforcement
 from sagekeep.operators.ontology import Ontology, checked_types
+from sagekeep.operators.graph import Graph
+from sagekeep.plans import text
 from sagekeep.plans.text import _run
 from sagekeep.streaming import events as streams
 
@@ -40,6 +42,27 @@ def test_windows_close_and_repeats_are_dropped(spark, tmp_path, rows):
     assert _run(streams.new_contents(source), "append").count() == 2
 
 
+def test_finite_logs_are_counted_to_their_end(spark, rows):
+    hours = [0, 1, 1, 30, 200, 201, 210, 226, 240, 241]  # dense to the end
+    table = [(f"e{i}", f"m{i % 2}" if i % 5 else None, "ADD" if i % 3 else "USE", T0 + timedelta(hours=h), "x") for i, h in enumerate(hours)]
+    g = Graph(spark, "", memory_events=spark.createDataFrame([*table, table[-1]], SCHEMA))
+    days = g.events.groupBy(F.date_format("occurred_at", "yyyy-MM-dd").alias("day"), "event_type").agg(F.count(F.lit(1)).alias("events"))
+    assert rows(text.streaming_daily_counts(g)) == rows(days)
+    runs = g.events.filter("memory_id IS NOT NULL").groupBy("memory_id", F.session_window("occurred_at", "24 hours").alias("w")).agg(F.count(F.lit(1)).alias("events"))
+    assert rows(text.streaming_bursts(g)) == rows(runs.select("memory_id", F.unix_micros("w.start").alias("first"), "events"))
+
+
+@pytest.mark.parametrize("name", ["streaming_daily_counts", "streaming_bursts"])
+def test_streams_equal_the_batch(spark, data, rows, name):
+    g = Graph(spark, data)
+    if name == "streaming_daily_counts":
+        batch = g.events.filter("occurred_at IS NOT NULL").groupBy(F.date_format("occurred_at", "yyyy-MM-dd").alias("day"), "event_type").agg(F.count(F.lit(1)).alias("events"))
+    else:
+        batch = g.events.filter("memory_id IS NOT NULL").groupBy("memory_id", F.session_window("occurred_at", "24 hours").alias("w")).agg(F.count(F.lit(1)).alias("events"))
+        batch = batch.select("memory_id", F.unix_micros("w.start").alias("first"), "events")
+    assert rows(getattr(text, name)(g)) == rows(batch)
+
+
 def test_types_are_checked_not_refused(spark, rows):
     ontology = Ontology.of(["person", {"name": "Tool", "synonyms": ["utility"], "tier": 1, "examples": ["Hammer"]}])
     frame = spark.createDataFrame([(" Person",), ("UTILITY ",), ("other",), (None,)], "entity_type string")
