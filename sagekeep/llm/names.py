@@ -1,28 +1,35 @@
 """Linking the spellings of people and organisations (problem 2).
 
 A name is cut to words without case, accents, titles and legal forms. All words
-are joined with each other by sharded tries (see ``tries``). A word that is rare
-and near a frequent or listed one is taken for a slip of it. In each name the
-rarest word is its core (the family name, the organisation's own word), whatever
-the order of the words, unless a comma says which it is; the rest is its label
-(the given name, the line of business). Where several words are rare, each order
-is tried. Short forms of labels come from the list
-of aliases, and from the data: a label that mostly stands beside a longer one
-under the same cores, or in an entity's recorded key, is a short form of it.
+are joined with each other by sharded tries (see ``tries``). Words are told apart
+by their company, what else stands in the names that they stand in: a word is a
+slip of a near one that has several times its company, or shares a good part of
+it, or is listed. In each name the word of least company is its core (the family
+name, the organisation's own word), whatever the order of the words, unless a
+comma says which it is; every other word of nearly as little company is tried as
+the core too. All the rest of the name, in any order, is its label (the given
+names, the line of business). Short forms of labels come from the list of
+aliases, and from the data: a label that mostly stands beside a longer one under
+the same cores, or in an entity's recorded key, is a short form of it.
 
 Two names are linked if their labels mean the same and their cores are equal or
 within few edits: one, or two where both cores have eight letters or more. An
-initial, or a short form of several names, is linked only where just one person
-or organisation fits. Recorded merges and keys are links too. Groups are the
-connected components of all links. Neither a core alone nor a label alone links.
+initial, a short form of several names, and a name that leaves out some of
+another's given names are linked only where just one person or organisation
+fits. Recorded merges and keys are links too. Groups are the connected components
+of all links. Neither a core alone nor a label alone links.
+
+All rules compare shares, so that they say the same of a table and of a hundred
+times as much.
 
 Defined results: rows of other types take no part (types are compared without
 case and blanks); rows that repeat an id are one, with the smallest of each
 value; null and blank names, and names without a word of two letters, are linked
 only by recorded merges and keys; merges into ids that aren't there, or of
 another type, are left out; an empty alias table is no error; very long names
-are read whole; equal names are one spelling, however many rows have it, and
-their rows come out as pairs; further columns are ignored.
+are read whole, and labels of more than ``SPELT_WORDS`` words are compared by a
+hash; equal names are one spelling, however many rows have it, and their rows
+come out as pairs; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,24 +40,29 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sagekeep.llm.components import components
 from sagekeep.llm.tries import distance, near_words
-from sagekeep.runtime import materialise, strip
-
-#: Words beside which a word must stand to count as frequent; names that an alias list may have.
-FREQUENT, MOST_ALIASES = 6, 100_000
-#: Words of a name that may be its core, where the data don't tell which one is.
-MOST_CORES = 3
-#: Cores under which two labels must meet, and their part of the cores of the shorter one, to be learned as one.
-LEARNED_CORES, LEARNED_PART = 2, 0.4
+from sagekeep.runtime import hot_values, materialise, strip
+
+#: Names that an alias list may have; a longer one is refused.
+MOST_ALIASES = 100_000
+#: Times the company of a word that another must have to outweigh it, and that a near word must have for the word to
+#: be a slip of it; a listed one need only outweigh it.
+SEVERAL, MANY = 4, 10
+#: Part of a word's company that a near word must share, and part of a label's cores that a longer one must share,
+#: for the two to be one. A single meeting under a core is no evidence for labels, whatever its part.
+SHARED_PART, LEAST_MEETINGS = 0.4, 2
+#: Times the part of all cores under which the longer label stands, that the part of the shorter one's cores must be.
+BEYOND_CHANCE = 1.5
+#: Words of a label that are kept as text; longer ones are kept as a hash. Parts that a hot group of rows is spread to.
+SPELT_WORDS, SALTS = 12, 32
 #: Words around personal names, and words without meaning in those of organisations.
 TITLES = {"dr", "prof", "mr", "mrs", "ms", "miss", "sir", "dame", "jr", "sr", "phd", "md"}
 FILLERS = {"the", "and", "of"}
 #: Digits that stand for letters.
-DIGITS = str.maketrans("0134578", "oieasTb".lower())
+DIGITS = str.maketrans("0134578", "oieastb")
 
 
 def fold(text: str) -> str:
@@ -105,7 +117,10 @@ class NameParser:
 
 
 def _spellings(entities: DataFrame, parser: NameParser) -> DataFrame:
-    """id, kind, part (0 the name, 1 the recorded key), words, initial, before for each row's spellings."""
+    """id, part (0 the name, 1 the recorded key), name, kind, words, initial, before for each row's spellings.
+
+    ``name`` is the same for all spellings of the same kind, words, initial and words before a comma.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -120,72 +135,111 @@ def _spellings(entities: DataFrame, parser: NameParser) -> DataFrame:
     texts = F.array(
         F.struct(F.lit(0).alias("part"), F.col("canonical_name").alias("text")), F.struct(F.lit(1).alias("part"), key.alias("text"))
     )
+    told = F.concat_ws("|", "kind", F.array_join("words", " "), "initial", F.array_join("before", " "))
     return (
         entities.select("id", "kind", F.explode(texts).alias("t"))
         .select("id", "kind", "t.part", "t.text")
         .filter("text IS NOT NULL")
         .mapInArrow(run, "id string, kind string, part int, words array<string>, initial string, before array<string>")
         .filter(F.size("words") > 0)
+        .withColumn("name", F.md5(told))
     )
 
 
-def _word_table(spellings: DataFrame, listed: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """kind, word, fixed, weight of each word, and the near pairs of words."""
-    distinct = spellings.select("kind", "words").distinct().withColumn("word", F.explode("words"))
-    beside = distinct.select("kind", "word", F.explode_outer(F.array_except("words", F.array("word"))).alias("beside"))
-    words = beside.groupBy("kind", "word").agg(F.count_distinct("beside").alias("partners"))
+#: Hashes of words are added modulo this, so that a sum doesn't depend on their order and can't overflow.
+_MODULUS = 2**62
+
+
+def _word_hash(word: Column) -> Column:
+    return F.shiftrightunsigned(F.xxhash64(word), 2)
+
+
+def _sum_of_hashes(words: Column) -> Column:
+    return F.aggregate(words, F.lit(0).cast("long"), lambda total, w: F.pmod(total + _word_hash(w), F.lit(_MODULUS)))
+
+
+def _without(total: Column, word: Column) -> Column:
+    """The sum of hashes of all words but one."""
+    return F.pmod(total - _word_hash(word), F.lit(_MODULUS))
+
+
+def _word_table(names: DataFrame, listed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """kind, word, fixed, listed, partners of each word, and the near pairs of words, both ways.
+
+    A word's company is the set of what is left of its names without it; its
+    partners are their number. ``fixed`` is what a slip stands for, else the word.
+    """
+    distinct = names.select("kind", F.array_distinct("words").alias("words")).withColumn("total", _sum_of_hashes(F.col("words")))
+    beside = F.when(F.size("words") > 1, _without(F.col("total"), F.col("word")))
+    company = distinct.withColumn("word", F.explode("words")).select("kind", "word", beside.alias("beside")).distinct()
+    company = materialise(company, "company")
+    words = company.groupBy("kind", "word").agg(F.count("beside").alias("partners"))
     words = words.join(listed, ["kind", "word"], "left").withColumn("listed", F.coalesce("listed", F.lit(False)))
-    words = materialise(words.withColumn("known", F.col("listed") | (F.col("partners") >= FREQUENT)), "words")
-    longest = F.greatest(F.length("word"), F.length("other"))
-    close = (F.col("distance") <= 1) | (F.least(F.length("word"), F.length("other")) >= 8) & (longest >= 8)
-    near = materialise(near_words(words).filter(close), "near-words")
-    targets = words.filter("known").select("kind", F.col("word").alias("other"), F.col("partners").alias("p"), F.col("listed").alias("l"))
-    rank = F.struct("distance", ~F.col("l"), -F.col("p"), "other")
-    slips = (
-        near.join(words.filter("NOT known").select("kind", "word"), ["kind", "word"])
-        .join(targets, ["kind", "other"])
-        .groupBy("kind", "word")
-        .agg(F.min_by(F.struct("other", "p", "l"), rank).alias("s"))
+    words = materialise(words, "words")
+    found = materialise(near_words(words), "near-words")
+    near = found.unionByName(found.select("kind", F.col("other").alias("word"), F.col("word").alias("other"), "distance"))
+    targets = words.select("kind", F.col("word").alias("other"), F.col("partners").alias("p"), F.col("listed").alias("l"))
+    rank = F.struct(F.col("l"), F.col("p"), F.col("other")) > F.struct(F.col("listed"), F.col("partners"), F.col("word"))
+    upward = near.join(words.filter("NOT listed"), ["kind", "word"]).join(targets, ["kind", "other"]).filter(rank)
+    times = F.when(F.col("l"), SEVERAL).otherwise(MANY)
+    outweighed = F.col("p") >= times * F.greatest("partners", F.lit(1))
+    upward = materialise(upward.withColumn("outweighed", outweighed), "upward")
+    doubted = upward.filter("NOT outweighed AND partners > 0").select("kind", "word", "other")
+    shared = (
+        doubted.join(company, ["kind", "word"])
+        .join(company.withColumnRenamed("word", "other"), ["kind", "other", "beside"])
+        .groupBy("kind", "word", "other")
+        .agg(F.count(F.lit(1)).alias("shared"))
     )
-    table = words.join(slips, ["kind", "word"], "left").select(
-        "kind",
-        "word",
-        F.coalesce("s.other", "word").alias("fixed"),
-        (F.coalesce("s.p", "partners") + F.when(F.coalesce("s.l", "listed"), 1_000_000).otherwise(0)).alias("weight"),
+    told = upward.join(shared, ["kind", "word", "other"], "left").filter(
+        F.col("outweighed") | (F.col("shared") >= SHARED_PART * F.col("partners"))
     )
+    order = F.struct("distance", ~F.col("l"), -F.col("p"), "other")
+    slips = told.groupBy("kind", "word").agg(F.min_by("other", order).alias("fixed"))
+    # What a slip was taken for may be a slip itself.
+    onward = slips.select("kind", F.col("word").alias("fixed"), F.col("fixed").alias("further"))
+    slips = slips.join(onward, ["kind", "fixed"], "left").select("kind", "word", F.coalesce("further", "fixed").alias("fixed"))
+    table = words.join(slips, ["kind", "word"], "left").withColumn("fixed", F.coalesce("fixed", "word"))
+    weights = targets.select("kind", F.col("other").alias("fixed"), "p", "l")
+    table = table.join(weights, ["kind", "fixed"]).select("kind", "word", "fixed", F.col("l").alias("listed"), F.col("p").alias("partners"))
     return materialise(table, "word-table"), near
 
 
-def _forms(spellings: DataFrame, words: DataFrame) -> DataFrame:
-    """id, kind, part, core, label, initial, usual: the core of each spelling, and what stands beside it.
+def _forms(names: DataFrame, words: DataFrame) -> DataFrame:
+    """name, kind, core, label, initial, first: the cores of each name, and all that stands beside them.
 
-    Where several words are rare, each of them may be the core; the rarest is the usual one.
+    The word of least company is the first core; every word that it doesn't outweigh is tried as one too.
     """
-    placed = spellings.select("id", "kind", "part", "initial", "before", F.posexplode("words").alias("at", "word"))
+    placed = names.select("name", "kind", "initial", "before", F.posexplode("words").alias("at", "word"))
     weighed = placed.join(words, ["kind", "word"]).withColumn("other", F.size("before") > 0)
     weighed = weighed.withColumn("other", F.col("other") & ~F.array_contains("before", F.col("word")))
-    items = F.sort_array(F.collect_list(F.struct("other", "weight", "at", "word", "fixed"))).alias("items")
-    cores = F.slice(F.filter("items", lambda w, i: (i == 0) | ~w["other"] & (w["weight"] < 2 * FREQUENT)), 1, MOST_CORES)
-    rest = F.filter("items", lambda w: w["at"] != F.col("c.at"))
-    given = F.array_min(F.transform(rest, lambda w: F.struct(w["at"], w["fixed"])))["fixed"]
-    business = F.array_join(F.array_sort(F.transform(rest, lambda w: w["fixed"])), " ")
-    label = F.when(F.size("items") == 1, "").when(F.col("kind") == "PERSON", given).otherwise(business)
+    items = F.sort_array(F.collect_list(F.struct("other", "listed", "partners", "at", "word", "fixed"))).alias("items")
+    head = F.col("items")[0]
+    fits = lambda w: (w["listed"] == head["listed"]) & ~w["other"] & (w["partners"] < SEVERAL * F.greatest(head["partners"], F.lit(1)))
+    cores = F.filter("items", lambda w, i: (i == 0) | fits(w))
+    rest = F.transform(F.filter("items", lambda w: w["at"] != F.col("c.at")), lambda w: w["fixed"])
+    spelt = F.array_join(F.array_sort(rest), " ")
+    hashed = F.concat(F.lit("#"), F.hex(_without(F.col("total"), F.col("c.fixed"))))
     return (
-        weighed.groupBy("id", "kind", "part", "initial")
+        weighed.groupBy("name", "kind", "initial")
         .agg(items)
+        .withColumn("total", F.when(F.size("items") > SPELT_WORDS, _sum_of_hashes(F.transform("items", lambda w: w["fixed"]))))
         .select("*", F.posexplode(cores).alias("turn", "c"))
-        .select("id", "kind", "part", "initial", F.col("c.word").alias("core"), label.alias("label"), (F.col("turn") == 0).alias("usual"))
+        .withColumn("label", F.when(F.col("total").isNull(), spelt).otherwise(hashed))
+        .select("name", "kind", "initial", F.col("c.word").alias("core"), "label", (F.col("turn") == 0).alias("first"))
+        .distinct()
     )
 
 
-def _learned(forms: DataFrame, merged: DataFrame, listed_full: DataFrame) -> DataFrame:
+def _learned(forms: DataFrame, told_by: DataFrame, merged: DataFrame, unexplained: DataFrame, listed_full: DataFrame) -> DataFrame:
     """kind, label, longer: short forms that the data show, for labels that the alias list doesn't explain."""
-    forms = forms.filter("usual")
-    labels = forms.filter("label <> ''").select("kind", "core", "label").distinct()
-    met = labels.join(labels.withColumnRenamed("label", "longer"), ["kind", "core"]).filter("label <> longer")
+    first = forms.filter("first AND label <> ''")
+    labels = first.select("kind", "core", "label").distinct()
+    short = labels.join(unexplained, ["kind", "label"], "left_semi")
+    met = short.join(labels.withColumnRenamed("label", "longer"), ["kind", "core"]).filter("label <> longer")
     cores = met.groupBy("kind", "label").agg(F.count_distinct("core").alias("cores"))
     both = met.groupBy("kind", "label", "longer").agg(F.count(F.lit(1)).alias("shared"))
-    names = forms.filter("label <> ''").select("id", "kind", "part", "label")
+    names = told_by.join(first.select("name", "kind", "label"), "name").select("id", "kind", "part", "label")
     keys = names.filter("part = 1").select("id", "kind", F.col("label").alias("longer"))
     told = names.filter("part = 0").join(keys, ["id", "kind"])
     roots = names.filter("part = 0").select(F.col("id").alias("root"), "kind", F.col("label").alias("longer"))
@@ -195,37 +249,49 @@ def _learned(forms: DataFrame, merged: DataFrame, listed_full: DataFrame) -> Dat
     told = told.filter("label <> longer").groupBy("kind", "label", "longer").agg(F.count(F.lit(1)).alias("told"))
     full = listed_full.select("kind", F.col("word").alias("longer"), F.lit(True).alias("full"))
     known = labels.groupBy("kind", "label").agg(F.count(F.lit(1)).alias("n"))
-    usual = (F.col("shared") >= LEARNED_CORES) & (F.col("shared") >= LEARNED_PART * F.col("cores"))
+    everywhere = labels.groupBy("kind").agg(F.count_distinct("core").alias("everywhere"))
+    usual = (
+        (F.col("shared") >= LEAST_MEETINGS)
+        & (F.col("shared") >= SHARED_PART * F.col("cores"))
+        & (F.col("shared") / F.col("cores") >= BEYOND_CHANCE * F.col("frequent") / F.col("everywhere"))
+    )
     score = F.struct(F.coalesce("told", F.lit(0)) * 2 + F.coalesce("shared", F.lit(0)), F.col("longer"))
     return (
         both.join(told, ["kind", "label", "longer"], "full")
         .join(cores, ["kind", "label"], "left")
         .join(full, ["kind", "longer"], "left")
         .join(known.select("kind", F.col("label").alias("longer"), F.col("n").alias("frequent")), ["kind", "longer"], "left")
-        .filter(usual | (F.col("told") >= 1) & (F.col("frequent") >= 2))
+        .join(everywhere, "kind", "left")
+        .filter(usual | (F.col("told") >= 1) & (F.col("frequent") >= LEAST_MEETINGS))
         .filter(F.col("full") | (F.length("longer") > F.length("label")))
         .groupBy("kind", "label")
         .agg(F.max_by("longer", score).alias("longer"))
     )
 
 
-def _shortened(forms: DataFrame, listed_full: DataFrame) -> DataFrame:
-    """kind, label, longer: labels that shorten just one frequent or listed label, word for word."""
-    labels = forms.filter("label <> ''").groupBy("kind", "label").agg(F.count_distinct("core").alias("n"))
+def _shortened(forms: DataFrame, unexplained: DataFrame, listed_full: DataFrame) -> DataFrame:
+    """kind, label, longer: labels that shorten just one listed label, or one met at least as often, word for word.
+
+    A person's short name starts the long one; an organisation's word may leave out letters anywhere.
+    """
+    labels = forms.filter("label <> '' AND NOT startswith(label, '#')").groupBy("kind", "label").agg(F.count_distinct("core").alias("n"))
     full = listed_full.select("kind", F.col("word").alias("label"), F.lit(True).alias("full"))
-    starts = F.array_join(F.transform(F.split("label", " "), lambda w: F.substring(w, 1, 1)), "")
-    # A person's short name starts the long one; an organisation's word may leave out letters anywhere.
-    pattern = F.when(F.col("kind") == "PERSON", F.concat("label", F.lit("[^ ]+"))).otherwise(
-        F.regexp_replace("label", r"([^ ])", "$1[^ ]*")
-    )
-    short = labels.filter(F.length("label") >= 3).withColumn("starts", starts).withColumn("pattern", F.concat(F.lit("^"), pattern, F.lit("$")))
-    known = labels.join(full, ["kind", "label"], "full").filter((F.col("n") >= FREQUENT) | F.col("full"))
-    long = known.withColumn("starts", starts).select("kind", "starts", F.col("label").alias("longer"))
-    fits = short.join(long, ["kind", "starts"]).filter("label <> longer").filter(F.expr("longer RLIKE pattern"))
+    short = labels.join(unexplained, ["kind", "label"], "left_semi").filter(F.length("label") >= 3)
+    long = labels.join(full, ["kind", "label"], "full").select("kind", F.col("label").alias("longer"), F.col("n").alias("often"), "full")
+    starts = F.transform(F.sequence(F.lit(3), F.length("longer") - 1), lambda n: F.substring("longer", F.lit(1), n))
+    by_start = long.filter("kind = 'PERSON' AND length(longer) > 3 AND NOT contains(longer, ' ')").withColumn("label", F.explode(starts))
+    people = short.join(by_start, ["kind", "label"])
+    initials = lambda c: F.array_join(F.transform(F.split(c, " "), lambda w: F.substring(w, 1, 1)), "")
+    gaps = F.concat(F.lit("^"), F.regexp_replace("label", r"([^ ])", "$1[^ ]*"), F.lit("$"))
+    business = short.filter("kind = 'ORG'").withColumn("starts", initials(F.col("label"))).withColumn("pattern", gaps)
+    business = business.join(long.withColumn("starts", initials(F.col("longer"))), ["kind", "starts"])
+    business = business.filter("label <> longer AND length(longer) > length(label) AND longer RLIKE pattern")
+    columns = ["kind", "label", "longer", "n", "often", "full"]
+    fits = people.select(columns).unionByName(business.select(columns)).filter("full OR often >= n")
     return fits.groupBy("kind", "label").agg(F.min("longer").alias("longer"), F.count(F.lit(1)).alias("k")).filter("k = 1").drop("k")
 
 
-def _meanings(forms: DataFrame, merged: DataFrame, parser: NameParser) -> DataFrame:
+def _meanings(forms: DataFrame, told_by: DataFrame, merged: DataFrame, parser: NameParser) -> DataFrame:
     """kind, label, meaning, options: what each label stands for, or the several names that it may stand for."""
     spark = forms.sparkSession
     options = [("PERSON", short, sorted(full)) for short, full in parser.fulls.items()]
@@ -233,13 +299,13 @@ def _meanings(forms: DataFrame, merged: DataFrame, parser: NameParser) -> DataFr
     all_full = [("PERSON", f) for f in sorted(set().union(*parser.fulls.values()))] if parser.fulls else []
     all_full += [("ORG", " ".join(sorted(p))) for p in set(parser.phrases.values())]
     listed_full = spark.createDataFrame(sorted(set(all_full)), "kind string, word string")
-    labels = forms.select("kind", "label").distinct()
-    open_labels = labels.join(listed, ["kind", "label"], "left_anti").join(
+    labels = materialise(forms.select("kind", "label").distinct(), "labels")
+    unexplained = labels.join(listed, ["kind", "label"], "left_anti").join(
         listed_full.withColumnRenamed("word", "label"), ["kind", "label"], "left_anti"
     )
-    learned = _learned(forms, merged, listed_full).withColumnRenamed("longer", "l1")
-    shortened = _shortened(forms, listed_full).withColumnRenamed("longer", "l2")
-    own = open_labels.join(learned, ["kind", "label"], "left").join(shortened, ["kind", "label"], "left")
+    learned = _learned(forms, told_by, merged, unexplained, listed_full).withColumnRenamed("longer", "l1")
+    shortened = _shortened(forms, unexplained, listed_full).withColumnRenamed("longer", "l2")
+    own = unexplained.join(learned, ["kind", "label"], "left").join(shortened, ["kind", "label"], "left")
     own = materialise(own.select("kind", "label", F.coalesce("l1", "l2", "label").alias("step")), "label-steps")
     # A learned longer form may itself be a listed short form, or be explained by a further one.
     again = own.select("kind", F.col("label").alias("step"), F.col("step").alias("further"))
@@ -251,12 +317,22 @@ def _meanings(forms: DataFrame, merged: DataFrame, parser: NameParser) -> DataFr
     table = labels.join(listed, ["kind", "label"], "left").join(explained.withColumnRenamed("fulls", "f"), ["kind", "label"], "left")
     fulls = F.coalesce("fulls", "f")
     several = F.size(fulls) > 1
-    return table.select(
+    single = table.select(
         "kind",
         "label",
         F.when(several, None).otherwise(F.coalesce(fulls[0], F.col("meaning"), F.col("label"))).alias("meaning"),
         F.when(several, fulls).alias("options"),
     )
+    # Of several given names each is explained by itself, where it has one meaning.
+    parts = labels.filter("kind = 'PERSON' AND contains(label, ' ')").withColumn("part", F.explode(F.split("label", " ")))
+    known = single.select("kind", F.col("label").alias("part"), F.col("meaning").alias("of_part"))
+    sure = listed.filter(F.size("fulls") == 1).select("kind", F.col("label").alias("part"), F.col("fulls")[0].alias("of_list"))
+    joined = parts.join(known, ["kind", "part"], "left").join(sure, ["kind", "part"], "left")
+    whole = F.array_join(F.array_sort(F.collect_list(F.coalesce("of_part", "of_list", "part"))), " ")
+    several_names = joined.groupBy("kind", "label").agg(whole.alias("whole"))
+    return single.join(several_names, ["kind", "label"], "left").select(
+        "kind", "label", F.coalesce("whole", "meaning").alias("meaning"), F.when(F.col("whole").isNull(), F.col("options")).alias("options")
+    )
 
 
 def _node(*parts: Column | str) -> Column:
@@ -290,62 +366,62 @@ def link_names(entities: DataFrame, aliases: DataFrame) -> DataFrame:
     merged = known.filter("merged_into IS NOT NULL").select("id", F.col("merged_into").alias("root"), "kind")
     merged = merged.join(known.select(F.col("id").alias("root"), "kind"), ["root", "kind"]).select("id", "root")
     spellings = materialise(_spellings(known, parser), "spellings")
+    told_by = spellings.select("id", "part", "name")
+    names = materialise(spellings.select("name", "kind", "words", "initial", "before").dropDuplicates(["name"]), "distinct-names")
     listed = [(k, w) for k, words in parser.listed.items() for w in sorted(words)]
     listed = spark.createDataFrame(listed, "kind string, word string").withColumn("listed", F.lit(True))
-    words, near = _word_table(spellings, listed)
-    forms = materialise(_forms(spellings, words), "forms")
-    meanings = _meanings(forms, merged, parser)
-    meant = materialise(forms.join(meanings, ["kind", "label"]), "meant")
-    sure = meant.filter("label <> '' AND meaning IS NOT NULL")
-    sure = sure.withColumn("node", _node("kind", "core", "meaning"))
-    sure = materialise(sure.select("id", "kind", "part", "core", "meaning", "node"), "sure")
+    words, near = _word_table(names, listed)
+    forms = materialise(_forms(names, words), "forms")
+    meant = materialise(forms.join(_meanings(forms, told_by, merged, parser), ["kind", "label"]), "meant")
+    sure = meant.filter("label <> '' AND meaning IS NOT NULL").withColumn("node", _node("kind", "core", "meaning"))
+    sure = materialise(sure.select("name", "kind", "core", "meaning", "node"), "sure")
     nodes = sure.select("kind", "core", "meaning", "node").distinct()
     cores = near.select("kind", F.col("word").alias("core"), F.col("other").alias("near_core"), "distance")
     by_core = (
-        nodes.join(cores, ["kind", "core"])
+        nodes.join(cores.filter("core < near_core"), ["kind", "core"])
         .select("kind", F.col("near_core").alias("core"), "meaning", F.col("node").alias("a"))
         .join(nodes.withColumnRenamed("node", "b"), ["kind", "core", "meaning"])
-        .filter("a < b")
         .select("a", "b")
     )
-    owner = _node(F.lit("id"), F.col("id"))
-    by_row = sure.select(owner.alias("a"), F.col("node").alias("b"))
+    # Rows are tied to names, names to their nodes: a name that many rows have is one end of few links.
+    owner, title = _node(F.lit("id"), F.col("id")), _node(F.lit("name"), F.col("name"))
+    by_name = sure.select(title.alias("a"), F.col("node").alias("b"))
+    by_row = told_by.join(sure.select("name").distinct(), "name").select(owner.alias("a"), title.alias("b"))
     by_merge = merged.select(owner.alias("a"), _node(F.lit("id"), F.col("root")).alias("b"))
-    found = components(by_core.unionByName(by_row).unionByName(by_merge))
-    found = materialise(found, "name-groups")
+    found = materialise(components(by_core.unionByName(by_name).unionByName(by_row).unionByName(by_merge)), "name-groups")
     of_row = known.select("id", owner.alias("node")).join(found, "node").select("id", "component")
-    # Initials and short forms of several names go to the only group that fits, among the nearest cores.
-    unsure = meant.join(sure.select("id").distinct(), "id", "left_anti")
-    unsure = unsure.filter("(kind = 'PERSON') AND (options IS NOT NULL OR (label = '' AND initial <> ''))")
-    unsure = unsure.withColumn("open", _node(F.lit("open"), "kind", "core", F.coalesce(F.array_join("options", " "), "initial")))
-    asked = unsure.select("open", "kind", "core", "options", "initial").distinct()
-    own = asked.select("open", "kind", "core", "options", "initial", F.lit(0).alias("distance"))
-    others = asked.join(cores.filter("distance = 1"), ["kind", "core"]).select(
-        "open", "kind", F.col("near_core").alias("core"), "options", "initial", "distance"
+    groups = materialise(nodes.join(found, "node").select("kind", "core", "meaning", "component").distinct(), "core-groups")
+    unsure = _unsure(meant, told_by, sure, groups)
+    # They go to the only group that fits, among the nearest cores.
+    own = unsure.select("open", "kind", "core", "how", "asked", F.lit(0).alias("distance"))
+    others = unsure.join(cores.filter("distance = 1"), ["kind", "core"]).select(
+        "open", "kind", F.col("near_core").alias("core"), "how", "asked", "distance"
     )
-    groups = nodes.join(found, "node")
-    fitting = F.when(F.col("options").isNotNull(), F.array_contains("options", F.col("meaning"))).otherwise(
-        F.col("meaning").startswith(F.col("initial"))
-    )
-    fits = own.unionByName(others).join(groups, ["kind", "core"]).filter(fitting)
-    nearest = W.partitionBy("open")
-    chosen = (
-        fits.withColumn("least", F.min("distance").over(nearest))
-        .filter("distance = least")
-        .groupBy("open")
-        .agg(F.min("component").alias("component"), F.max("component").alias("last"))
+    initial = F.struct(F.lit("initial").alias("how"), F.substring("meaning", 1, 1).alias("asked"))
+    whole = F.struct(F.lit("whole").alias("how"), F.col("meaning").alias("asked"))
+    each = F.transform(
+        F.when(F.contains("meaning", F.lit(" ")), F.split("meaning", " ")).otherwise(F.array().cast("array<string>")),
+        lambda w: F.struct(F.lit("part").alias("how"), w.alias("asked")),
     )
+    offered = groups.withColumn("o", F.explode(F.array_distinct(F.concat(F.array(initial, whole), each))))
+    offered = offered.select("kind", "core", "o.how", "o.asked", "component").distinct()
+    fits = own.unionByName(others).distinct().join(offered, ["kind", "core", "how", "asked"])
+    at_distance = fits.groupBy("open", "distance").agg(F.min("component").alias("least"), F.max("component").alias("most"))
+    chosen = at_distance.groupBy("open").agg(F.min_by(F.struct("least", "most"), "distance").alias("c"))
+    chosen = chosen.filter("c.least = c.most").select("open", F.col("c.least").alias("component"))
+    alone = fits.select("open").distinct()
     placed = (
-        unsure.select("id", "open")
-        .distinct()
+        told_by.join(unsure.select("name", "open").distinct(), "name")
         .join(chosen, "open", "left")
-        .select("id", F.when(F.col("component") == F.col("last"), F.col("component")).when(F.col("component").isNull(), F.col("open")).alias("fit"))
+        .join(alone.withColumn("met", F.lit(True)), "open", "left")
+        # Names that nothing fits are one group; names that several groups fit stay single.
+        .select("id", F.when(F.col("component").isNotNull(), F.col("component")).when(F.col("met").isNull(), F.col("open")).alias("fit"))
         .groupBy("id")
         .agg(F.min("fit").alias("fit"))
     )
-    # A row that a recorded merge ties to a group takes the group with it.
+    # A row that a recorded merge, or a further spelling, ties to a group takes the group with it.
     ties = of_row.select("id", F.col("component").alias("a")).join(placed.filter("fit IS NOT NULL"), "id").select("a", F.col("fit").alias("b"))
-    joined = components(ties)
+    joined = components(ties.filter("a <> b").distinct())
     return (
         known.select("id")
         .join(of_row, "id", "left")
@@ -356,7 +432,35 @@ def link_names(entities: DataFrame, aliases: DataFrame) -> DataFrame:
     )
 
 
+def _unsure(meant: DataFrame, told_by: DataFrame, sure: DataFrame, groups: DataFrame) -> DataFrame:
+    """name, open, kind, core, how, asked: names that say too little, and what a group that they may belong to must offer.
+
+    Initials ask for a label that starts so, short forms of several names for one of these, and single given names
+    for a label of several in which they stand. Rows with a further spelling that says enough aren't asked for.
+    """
+    settled = told_by.join(sure.select("name").distinct(), "name").select("id").distinct()
+    waiting = told_by.join(settled, "id", "left_anti").select("name").distinct()
+    vague = meant.filter("kind = 'PERSON' AND (options IS NOT NULL OR (label = '' AND initial <> ''))").join(waiting, "name", "left_semi")
+    asked = F.when(F.col("options").isNotNull(), F.col("options")).otherwise(F.array("initial"))
+    open_node = _node(F.lit("open"), "kind", "core", F.coalesce(F.array_join("options", " "), "initial"))
+    vague = vague.select(
+        "name", open_node.alias("open"), "kind", "core", F.when(F.col("options").isNull(), "initial").otherwise("whole").alias("how"),
+        F.explode(asked).alias("asked"),
+    )
+    fewer = sure.filter("kind = 'PERSON' AND NOT contains(meaning, ' ') AND NOT startswith(meaning, '#')")
+    several = groups.filter("kind = 'PERSON' AND contains(meaning, ' ')").select("core").distinct()
+    fewer = fewer.join(several, "core", "left_semi")
+    group = groups.select("kind", "core", "meaning", F.col("component").alias("open"))
+    fewer = fewer.join(group, ["kind", "core", "meaning"]).select("name", "open", "kind", "core", F.lit("part").alias("how"), F.col("meaning").alias("asked"))
+    return materialise(vague.unionByName(fewer), "unsure")
+
+
 def linked_pairs(groups: DataFrame) -> DataFrame:
-    """All pairs of ids of one entity: id_a < id_b."""
-    left = groups.select("entity", F.col("id").alias("id_a"))
-    return left.join(groups.select("entity", F.col("id").alias("id_b")), "entity").filter("id_a < id_b").select("id_a", "id_b")
+    """All pairs of ids of one entity: id_a < id_b; an entity that may have a great part of the rows is dealt to many tasks."""
+    hot = hot_values(groups.select("entity"), "entity")
+    is_hot = F.col("entity").isin(hot) if hot else F.lit(False)
+    part = F.when(is_hot, F.pmod(F.xxhash64("id"), F.lit(SALTS))).otherwise(F.lit(0)).cast("int")
+    parts = F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    left = groups.select("entity", F.col("id").alias("id_a"), part.alias("part"))
+    right = groups.select("entity", F.col("id").alias("id_b"), F.explode(parts).alias("part"))
+    return left.join(right, ["entity", "part"]).filter("id_a < id_b").select("id_a", "id_b")
