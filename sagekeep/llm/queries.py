@@ -30,12 +30,19 @@ def p3_found(spark: SparkSession, root: str) -> DataFrame:
     return found
 
 
-def p4_found(spark: SparkSession, root: str) -> DataFrame:
-    memories = read_table(spark, root, "memories")
+def p4_repeats(spark: SparkSession, root: str) -> DataFrame:
+    """id, match, similarity of the undecided commits that repeat something accepted; similarity is null where coverage decided."""
+    memories = read_table(spark, root, "memories").filter("id IS NOT NULL")
+    accepted = memories.select(F.col("id").cast("string").alias("id"), history.one_blank(F.col("content")).alias("body"), "content_embedding")
+    usable = vectors.usable_vectors(accepted, "id", "content_embedding")
+    bare = accepted.select("id", F.lit(None).cast("binary").alias("vector"), "body")
     known = history.ChunkHistory(spark)
-    known.append(memories.filter("id IS NOT NULL").select("id", history.one_blank(F.col("content")).alias("body")))
-    new = read_table(spark, root, "commit_outcomes").filter("outcome IS NULL")
-    found = history.repeats(new, memories, known)
+    known.append(bare.unionByName(usable.select("id", "vector", F.lit(None).cast("string").alias("body"))))
+    return history.repeats(read_table(spark, root, "commit_outcomes").filter("outcome IS NULL"), known)
+
+
+def p4_found(spark: SparkSession, root: str) -> DataFrame:
+    found = p4_repeats(spark, root)
     return found.select(F.least("id", "match").alias("id_a"), F.greatest("id", "match").alias("id_b"))
 
 
@@ -64,5 +71,6 @@ QUERIES = {
     "p2_found": p2_found,
     "p3_found": p3_found,
     "p4_found": p4_found,
+    "p4_repeats": p4_repeats,
     "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_shared_part": p8_shared_part}
 ORACLES: dict[str, str] = {}

@@ -313,16 +313,19 @@ def match(
     earlier: bool = False,
     first: bool = False,
     dim: int = DIM,
+    packed: bool = False,
 ) -> DataFrame:
     """id, other, similarity, other_order: the best row of ``right`` for each of ``left``.
 
     Both sides hold id, vector and order, and are read several times, so they
-    should be tables. Only matches of ``min_similarity`` count; with ``earlier``
+    should be tables; with ``packed`` the right one holds matrices instead, as
+    ``pack`` gives them, named by ``pack``. Only matches of ``min_similarity`` count; with ``earlier``
     only rows of ``right`` of a smaller order; with ``first`` the one of smallest
     order is given instead of the most similar. Each tile gives one match a row.
     """
     spark = left.sparkSession
-    sizes = [left.count(), right.count()]
+    of_right = right.agg(F.coalesce(F.sum(F.size("ids")), F.lit(0))).first()[0] if packed else right.count()
+    sizes = [left.count(), of_right]
     if not all(sizes):
         return spark.createDataFrame([], "id string, other string, similarity double, other_order long")
     wanted = 3 * spark.sparkContext.defaultParallelism
@@ -332,7 +335,11 @@ def match(
         if sizes[side] / blocks[side] < 2_000:
             break
         blocks[side] += 1
-    packs = [pack(df, n, size) for df, n, size in zip((left, right), blocks, sizes, strict=True)]
+    packs = [pack(left, blocks[0], sizes[0])]
+    if packed:
+        packs.append(right.withColumn("block", F.pmod(F.xxhash64("pack"), F.lit(blocks[1])).cast("int")).drop("pack"))
+    else:
+        packs.append(pack(right, blocks[1], sizes[1]))
     block = F.col("block")
     as_left = packs[0].withColumn("tile", F.explode(F.transform(F.sequence(F.lit(0), F.lit(blocks[1] - 1)), lambda j: block * blocks[1] + j)))
     as_right = packs[1].withColumn("tile", F.explode(F.transform(F.sequence(F.lit(0), F.lit(blocks[0] - 1)), lambda i: i * blocks[1] + block)))
