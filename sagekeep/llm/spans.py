@@ -15,9 +15,13 @@ surroundings of a window stand in another record too, all its stretches are
 shared. For the rest, at the borders of shared passages, the stretches are
 compared one by one: their hashes meet in a second exchange that only carries
 least and greatest record. No pairs are formed, however many records share a
-passage.
+passage. The windows, and the stretches, of a passage that a great part of the
+records hold are dealt to many tasks; each gives its least and greatest record,
+and these are combined for the few passages of that kind.
 
-Equality is decided by 64-bit hashes of the whole stretch.
+Equality is decided by 128 bits: the least hash of the tokens in a stretch and a
+hash of the whole of it, which are independent (for whole windows the least hash
+and a hash over their first and last stretch).
 
 Defined results: null, empty and shorter texts share nothing; rows of one id are
 one record, they don't make each other's text shared; records without an id are
@@ -36,12 +40,16 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sagekeep.llm.hashing import MIX_A, MIX_B, SHIFT, gram_hashes, sliding_least
-from sagekeep.runtime import materialise
+from sagekeep.operators.skew import salted_join
+from sagekeep.runtime import hot_values, materialise
 
 LEAST = 120
 GRAM = 48
 #: Characters that are worked on at once.
 SLAB = 400_000
+#: Share of the rows from which on a key is dealt to several tasks, and their number.
+SUPPORT, SALTS = 0.005, 64
+
 
 def compact_windows(text: str, lengths: np.ndarray, least: int, gram: int) -> tuple[np.ndarray, ...]:
     """Compact windows of the pieces whose concatenation is ``text``.
@@ -139,21 +147,23 @@ def _stretches(df: DataFrame, least: int) -> DataFrame:
                 least_doc = pa.array([w["least_doc"] for _, w in part], docs.type)
                 most_doc = pa.array([w["most_doc"] for _, w in part], docs.type)
                 unsure = pa.array([w["open"] for _, w in part], pa.bool_())
+                signature = pa.array([w["signature"] for _, w in part], pa.int64())
                 of = pa.array(which)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(hashes.view(np.int64)),
+                        signature.take(of),
                         docs.take(pa.array(np.array([row for row, _ in part])[which])),
                         pa.array(first[which] + inner, pa.int64()),
                         least_doc.take(of),
                         most_doc.take(of),
                         unsure.take(of),
                     ],
-                    names=["stretch", "doc", "start", "least_doc", "most_doc", "open"],
+                    names=["stretch", "signature", "doc", "start", "least_doc", "most_doc", "open"],
                 )
 
     return df.mapInArrow(
-        run, f"stretch long, doc {kind}, start long, least_doc {kind}, most_doc {kind}, open boolean"
+        run, f"stretch long, signature long, doc {kind}, start long, least_doc {kind}, most_doc {kind}, open boolean"
     )
 
 
@@ -170,21 +180,24 @@ def join_touching(intervals: DataFrame) -> DataFrame:
     )
 
 
-def shared_spans(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, gram: int = GRAM
-) -> DataFrame:
-    """The longest unbroken stretches of shared characters of each record: id, span_start, span_end.
+def _dealt(df: DataFrame, key: str) -> tuple[DataFrame, list]:
+    """The rows with ``hot`` and ``part``: rows of a key that may have a great part of all are dealt by their record."""
+    hot = hot_values(df.select(key), key, SUPPORT)
+    is_hot = F.col(key).isin(hot) if hot else F.lit(False)
+    part = F.when(is_hot, F.pmod(F.xxhash64("doc"), F.lit(SALTS))).otherwise(F.lit(0)).cast("int")
+    return df.withColumn("hot", is_hot).withColumn("part", part), hot
 
-    A character is shared if it lies in a substring of at least ``least``
-    characters that stands in the text of another id as well.
+
+def _marked_windows(windows: DataFrame) -> DataFrame:
+    """The windows whose signature several records have, with the least and greatest record of their cover.
+
+    ``open`` are those that only one record has as they are, ``sample`` one of each cover that such ones are to be
+    compared with.
     """
-    texts = df.select(F.col(id_col).alias("doc"), F.col(text_col).alias("body")).filter(
-        F.col("doc").isNotNull() & (F.length("body") >= least)
-    )
-    same_signature, same_cover = W.partitionBy("signature"), W.partitionBy("signature", "cover")
+    dealt, hot = _dealt(windows, "signature")
+    same_signature, same_cover = W.partitionBy("signature", "part"), W.partitionBy("signature", "part", "cover")
     marked = (
-        window_table(texts, least, gram)
-        .repartition("signature")
+        dealt.repartition("signature", "part")
         .withColumn("least_doc", F.min("doc").over(same_cover))
         .withColumn("most_doc", F.max("doc").over(same_cover))
         .withColumn("first", F.row_number().over(same_cover.orderBy("doc", "start")) == 1)
@@ -192,26 +205,72 @@ def shared_spans(
         .withColumn("any_open", F.max("open").over(same_signature))
         .withColumn("least_of_all", F.min("doc").over(same_signature))
         .withColumn("most_of_all", F.max("doc").over(same_signature))
-        .filter("least_of_all <> most_of_all")
+        .filter("hot OR least_of_all <> most_of_all")
         .withColumn("sample", F.col("first") & F.col("any_open"))
-        .select("doc", "start", "n", "least_doc", "most_doc", "open", "sample")
+        .withColumn("cover", F.when(F.col("hot"), F.col("cover")))
+        .select("doc", "start", "n", "signature", "cover", "hot", "least_doc", "most_doc", "open", "sample")
     )
     marked = materialise(marked, "span-windows")
+    columns = ["doc", "start", "n", "signature", "least_doc", "most_doc", "open", "sample"]
+    if not hot:
+        return marked.select(columns)
+    of_hot = marked.filter("hot")
+    covers = of_hot.groupBy("signature", "cover").agg(
+        F.min("least_doc").alias("least_doc"), F.max("most_doc").alias("most_doc"), F.min(F.struct("doc", "start")).alias("head")
+    )
+    covers = covers.withColumn("open", F.col("least_doc") == F.col("most_doc"))
+    whole = covers.groupBy("signature").agg(
+        F.min("least_doc").alias("least_of_all"), F.max("most_doc").alias("most_of_all"), F.max("open").alias("any_open")
+    )
+    covers = covers.join(whole.filter("least_of_all <> most_of_all"), "signature")
+    covers = covers.select(F.struct("signature", "cover").alias("group"), "least_doc", "most_doc", "head", "open", "any_open")
+    rows = of_hot.select("doc", "start", "n", "signature", F.struct("signature", "cover").alias("group"))
+    rows = salted_join(rows, covers, "group", "doc").withColumn("sample", F.col("any_open") & (F.col("head") == F.struct("doc", "start")))
+    return materialise(marked.filter("NOT hot").select(columns).unionByName(rows.select(columns)), "span-windows")
+
+
+def _shared_stretches(stretches: DataFrame) -> DataFrame:
+    """doc, start of the open stretches that another record holds too."""
+    dealt, hot = _dealt(stretches, "stretch")
+    same = W.partitionBy("stretch", "signature", "part")
+    compared = (
+        dealt.repartition("stretch", "signature", "part")
+        .withColumn("least_of_all", F.min("least_doc").over(same))
+        .withColumn("most_of_all", F.max("most_doc").over(same))
+        .filter("hot OR open AND least_of_all <> most_of_all")
+    )
+    if not hot:
+        return compared.select("doc", "start")
+    compared = materialise(compared.select("doc", "start", "stretch", "signature", "hot", "open", "least_of_all", "most_of_all"), "stretches")
+    of_hot = compared.filter("hot")
+    whole = of_hot.groupBy("stretch", "signature").agg(F.min("least_of_all").alias("least"), F.max("most_of_all").alias("most"))
+    group = F.struct("stretch", "signature").alias("group")
+    several = whole.filter("least <> most").select(group)
+    found = salted_join(of_hot.filter("open").select("doc", "start", group), several, "group", "doc")
+    return compared.filter("NOT hot").select("doc", "start").unionByName(found.select("doc", "start"))
+
+
+def shared_spans(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, gram: int = GRAM
+) -> DataFrame:
+    """The longest unbroken stretches of shared characters of each record: id, span_start, span_end.
+
+    A character is shared if it lies in a substring of at least ``least``
+    characters that stands in the text of another id as well.
+    """
+    texts = df.select(F.col(id_col).alias("doc"), F.col(text_col).alias("body")).filter(
+        F.col("doc").isNotNull() & (F.length("body") >= least)
+    )
+    marked = _marked_windows(window_table(texts, least, gram))
     end = F.col("start") + F.col("n") - 1 + least
     closed = marked.filter("NOT open").select("doc", F.col("start").alias("a"), end.alias("b"))
     to_compare = (
         marked.filter("open OR sample")
         .groupBy("doc")
-        .agg(F.collect_list(F.struct("start", "n", "least_doc", "most_doc", "open")).alias("windows"))
-    )
-    stretches = _stretches(texts.join(to_compare, "doc"), least)
-    same = W.partitionBy("stretch")
-    compared = (
-        stretches.withColumn("least_of_all", F.min("least_doc").over(same))
-        .withColumn("most_of_all", F.max("most_doc").over(same))
-        .filter("open AND least_of_all <> most_of_all")
-        .select("doc", F.col("start").alias("a"), (F.col("start") + least).alias("b"))
+        .agg(F.collect_list(F.struct("start", "n", "signature", "least_doc", "most_doc", "open")).alias("windows"))
     )
+    compared = _shared_stretches(_stretches(texts.join(to_compare, "doc"), least))
+    compared = compared.select("doc", F.col("start").alias("a"), (F.col("start") + least).alias("b"))
     return join_touching(closed.unionByName(compared)).withColumnRenamed("doc", id_col)
 
 

@@ -68,6 +68,15 @@ def test_group_of_copies_gives_one_row_each(spark):
     assert sorted(tuple(r) for r in found) == [(i, 0, 300) for i in range(500)]
 
 
+def test_a_passage_in_every_document(spark, rows):
+    rng = random.Random(4)
+    words = lambda n: "".join(rng.choice("abcdefghij klmnop") for _ in range(n))
+    boiler, other = words(260), words(200)
+    cases = [(i, words(rng.randint(0, 150)) + boiler[i % 7 :] + words(rng.randint(0, 90)) + (other[: 190 - i % 50] if i % 3 else "")) for i in range(90)]
+    cases += [(200 + i, boiler[: 130 + i] + words(40)) for i in range(10)] + [(300, boiler * 3), (301, words(400))]
+    assert rows(shared_spans(frame(spark, cases))) == sorted(brute_force(cases, 120), key=repr)
+
+
 def test_empty_table_and_parts(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert shared_spans(empty).collect() == []
