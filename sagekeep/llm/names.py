@@ -231,36 +231,52 @@ def _forms(names: DataFrame, words: DataFrame) -> DataFrame:
     )
 
 
-def _learned(forms: DataFrame, told_by: DataFrame, merged: DataFrame, unexplained: DataFrame, listed_full: DataFrame) -> DataFrame:
+def _label_table(forms: DataFrame, parser: NameParser) -> DataFrame:
+    """kind, label, n, first_n, fulls, full, unexplained of the labels that stand beside cores, and of listed full names.
+
+    ``n`` counts the cores, ``first_n`` those that are the first of their names.
+    ``fulls`` are the listed meanings of a short form; ``full`` marks a listed
+    full name. Labels that are neither are unexplained.
+    """
+    spark = forms.sparkSession
+    rows = {("PERSON", short): (sorted(full), False) for short, full in parser.fulls.items()}
+    whole = {("PERSON", f) for f in set().union(*parser.fulls.values())} | {("ORG", " ".join(sorted(p))) for p in set(parser.phrases.values())}
+    rows |= {key: (rows.get(key, (None,))[0], True) for key in whole}
+    listed = spark.createDataFrame([(*key, *value) for key, value in sorted(rows.items())], "kind string, label string, fulls array<string>, full boolean")
+    first = F.count_distinct(F.when(F.col("first"), F.col("core"))).alias("first_n")
+    met = forms.groupBy("kind", "label").agg(F.count_distinct("core").alias("n"), first)
+    table = met.join(listed, ["kind", "label"], "full").fillna(0, ["n", "first_n"]).fillna(False, ["full"])
+    return materialise(table.withColumn("unexplained", F.col("fulls").isNull() & ~F.col("full") & (F.col("label") != "")), "labels")
+
+
+def _learned(forms: DataFrame, told_by: DataFrame, merged: DataFrame, labels: DataFrame) -> DataFrame:
     """kind, label, longer: short forms that the data show, for labels that the alias list doesn't explain."""
     first = forms.filter("first AND label <> ''")
-    labels = first.select("kind", "core", "label").distinct()
-    short = labels.join(unexplained, ["kind", "label"], "left_semi")
-    met = short.join(labels.withColumnRenamed("label", "longer"), ["kind", "core"]).filter("label <> longer")
+    under = first.select("kind", "core", "label").distinct().join(labels.select("kind", "label", "unexplained", "full", "first_n"), ["kind", "label"])
+    under = materialise(under, "labels-of-cores")
+    longer = under.select("kind", "core", F.col("label").alias("longer"), "full", F.col("first_n").alias("frequent"))
+    met = under.filter("unexplained").select("kind", "core", "label").join(longer, ["kind", "core"]).filter("label <> longer")
     cores = met.groupBy("kind", "label").agg(F.count_distinct("core").alias("cores"))
     both = met.groupBy("kind", "label", "longer").agg(F.count(F.lit(1)).alias("shared"))
-    names = told_by.join(first.select("name", "kind", "label"), "name").select("id", "kind", "part", "label")
-    keys = names.filter("part = 1").select("id", "kind", F.col("label").alias("longer"))
-    told = names.filter("part = 0").join(keys, ["id", "kind"])
-    roots = names.filter("part = 0").select(F.col("id").alias("root"), "kind", F.col("label").alias("longer"))
-    told = told.select("kind", "label", "longer").unionByName(
-        names.filter("part = 0").join(merged, "id").join(roots, ["root", "kind"]).select("kind", "label", "longer")
-    )
-    told = told.filter("label <> longer").groupBy("kind", "label", "longer").agg(F.count(F.lit(1)).alias("told"))
-    full = listed_full.select("kind", F.col("word").alias("longer"), F.lit(True).alias("full"))
-    known = labels.groupBy("kind", "label").agg(F.count(F.lit(1)).alias("n"))
-    everywhere = labels.groupBy("kind").agg(F.count_distinct("core").alias("everywhere"))
+    # What recorded keys and merges say: the label of a row beside that of its key, or of the row it was merged into.
+    names = materialise(told_by.join(first.select("name", "kind", "label"), "name").select("id", "kind", "part", "label"), "told-labels")
+    own = names.filter("part = 0").select("id", "kind", "label")
+    of_root = merged.join(own.withColumnRenamed("id", "root"), "root").select("id", "kind", F.col("label").alias("longer"))
+    beside = names.filter("part = 1").select("id", "kind", F.col("label").alias("longer")).unionByName(of_root)
+    told = own.join(beside, ["id", "kind"]).filter("label <> longer").groupBy("kind", "label", "longer").agg(F.count(F.lit(1)).alias("told"))
+    everywhere = under.groupBy("kind").agg(F.count_distinct("core").alias("everywhere"))
     usual = (
         (F.col("shared") >= LEAST_MEETINGS)
         & (F.col("shared") >= SHARED_PART * F.col("cores"))
         & (F.col("shared") / F.col("cores") >= BEYOND_CHANCE * F.col("frequent") / F.col("everywhere"))
     )
     score = F.struct(F.coalesce("told", F.lit(0)) * 2 + F.coalesce("shared", F.lit(0)), F.col("longer"))
+    of_longer = labels.select("kind", F.col("label").alias("longer"), "full", F.col("first_n").alias("frequent"))
     return (
         both.join(told, ["kind", "label", "longer"], "full")
+        .join(labels.filter("unexplained").select("kind", "label"), ["kind", "label"], "left_semi")
         .join(cores, ["kind", "label"], "left")
-        .join(full, ["kind", "longer"], "left")
-        .join(known.select("kind", F.col("label").alias("longer"), F.col("n").alias("frequent")), ["kind", "longer"], "left")
+        .join(of_longer, ["kind", "longer"], "left")
         .join(everywhere, "kind", "left")
         .filter(usual | (F.col("told") >= 1) & (F.col("frequent") >= LEAST_MEETINGS))
         .filter(F.col("full") | (F.length("longer") > F.length("label")))
@@ -269,15 +285,14 @@ def _learned(forms: DataFrame, told_by: DataFrame, merged: DataFrame, unexplaine
     )
 
 
-def _shortened(forms: DataFrame, unexplained: DataFrame, listed_full: DataFrame) -> DataFrame:
+def _shortened(labels: DataFrame) -> DataFrame:
     """kind, label, longer: labels that shorten just one listed label, or one met at least as often, word for word.
 
     A person's short name starts the long one; an organisation's word may leave out letters anywhere.
     """
-    labels = forms.filter("label <> '' AND NOT startswith(label, '#')").groupBy("kind", "label").agg(F.count_distinct("core").alias("n"))
-    full = listed_full.select("kind", F.col("word").alias("label"), F.lit(True).alias("full"))
-    short = labels.join(unexplained, ["kind", "label"], "left_semi").filter(F.length("label") >= 3)
-    long = labels.join(full, ["kind", "label"], "full").select("kind", F.col("label").alias("longer"), F.col("n").alias("often"), "full")
+    known = labels.filter("label <> '' AND NOT startswith(label, '#')")
+    short = known.filter("unexplained AND length(label) >= 3").select("kind", "label", "n")
+    long = known.select("kind", F.col("label").alias("longer"), F.col("n").alias("often"), "full")
     starts = F.transform(F.sequence(F.lit(3), F.length("longer") - 1), lambda n: F.substring("longer", F.lit(1), n))
     by_start = long.filter("kind = 'PERSON' AND length(longer) > 3 AND NOT contains(longer, ' ')").withColumn("label", F.explode(starts))
     people = short.join(by_start, ["kind", "label"])
@@ -293,44 +308,30 @@ def _shortened(forms: DataFrame, unexplained: DataFrame, listed_full: DataFrame)
 
 def _meanings(forms: DataFrame, told_by: DataFrame, merged: DataFrame, parser: NameParser) -> DataFrame:
     """kind, label, meaning, options: what each label stands for, or the several names that it may stand for."""
-    spark = forms.sparkSession
-    options = [("PERSON", short, sorted(full)) for short, full in parser.fulls.items()]
-    listed = spark.createDataFrame(options, "kind string, label string, fulls array<string>")
-    all_full = [("PERSON", f) for f in sorted(set().union(*parser.fulls.values()))] if parser.fulls else []
-    all_full += [("ORG", " ".join(sorted(p))) for p in set(parser.phrases.values())]
-    listed_full = spark.createDataFrame(sorted(set(all_full)), "kind string, word string")
-    labels = materialise(forms.select("kind", "label").distinct(), "labels")
-    unexplained = labels.join(listed, ["kind", "label"], "left_anti").join(
-        listed_full.withColumnRenamed("word", "label"), ["kind", "label"], "left_anti"
-    )
-    learned = _learned(forms, told_by, merged, unexplained, listed_full).withColumnRenamed("longer", "l1")
-    shortened = _shortened(forms, unexplained, listed_full).withColumnRenamed("longer", "l2")
-    own = unexplained.join(learned, ["kind", "label"], "left").join(shortened, ["kind", "label"], "left")
-    own = materialise(own.select("kind", "label", F.coalesce("l1", "l2", "label").alias("step")), "label-steps")
+    labels = _label_table(forms, parser)
+    learned = _learned(forms, told_by, merged, labels).withColumnRenamed("longer", "l1")
+    shortened = _shortened(labels).withColumnRenamed("longer", "l2")
+    own = labels.join(learned, ["kind", "label"], "left").join(shortened, ["kind", "label"], "left")
+    own = materialise(own.select("kind", "label", "n", "fulls", F.coalesce("l1", "l2").alias("step")), "label-steps")
     # A learned longer form may itself be a listed short form, or be explained by a further one.
-    again = own.select("kind", F.col("label").alias("step"), F.col("step").alias("further"))
-    via = listed.select("kind", F.col("label").alias("step"), "fulls")
-    found = own.join(again, ["kind", "step"], "left").join(via, ["kind", "step"], "left")
-    explained = found.select(
-        "kind", "label", F.coalesce("further", "step").alias("meaning"), F.when(F.col("step") != F.col("label"), F.col("fulls")).alias("fulls")
-    )
-    table = labels.join(listed, ["kind", "label"], "left").join(explained.withColumnRenamed("fulls", "f"), ["kind", "label"], "left")
-    fulls = F.coalesce("fulls", "f")
+    onward = own.select("kind", F.col("label").alias("step"), F.col("step").alias("further"), F.col("fulls").alias("of_step"))
+    table = own.join(onward, ["kind", "step"], "left")
+    fulls = F.coalesce("fulls", "of_step")
     several = F.size(fulls) > 1
     single = table.select(
         "kind",
         "label",
-        F.when(several, None).otherwise(F.coalesce(fulls[0], F.col("meaning"), F.col("label"))).alias("meaning"),
+        "n",
+        F.when(several, None).otherwise(F.coalesce(fulls[0], "further", "step", "label")).alias("meaning"),
         F.when(several, fulls).alias("options"),
     )
+    single = materialise(single, "label-meanings")
     # Of several given names each is explained by itself, where it has one meaning.
-    parts = labels.filter("kind = 'PERSON' AND contains(label, ' ')").withColumn("part", F.explode(F.split("label", " ")))
+    parts = single.filter("kind = 'PERSON' AND contains(label, ' ')").select("kind", "label", F.explode(F.split("label", " ")).alias("part"))
     known = single.select("kind", F.col("label").alias("part"), F.col("meaning").alias("of_part"))
-    sure = listed.filter(F.size("fulls") == 1).select("kind", F.col("label").alias("part"), F.col("fulls")[0].alias("of_list"))
-    joined = parts.join(known, ["kind", "part"], "left").join(sure, ["kind", "part"], "left")
-    whole = F.array_join(F.array_sort(F.collect_list(F.coalesce("of_part", "of_list", "part"))), " ")
-    several_names = joined.groupBy("kind", "label").agg(whole.alias("whole"))
-    return single.join(several_names, ["kind", "label"], "left").select(
+    whole = F.array_join(F.array_sort(F.collect_list(F.coalesce("of_part", "part"))), " ")
+    several_names = parts.join(known, ["kind", "part"], "left").groupBy("kind", "label").agg(whole.alias("whole"))
+    return single.filter("n > 0").join(several_names, ["kind", "label"], "left").select(
         "kind", "label", F.coalesce("whole", "meaning").alias("meaning"), F.when(F.col("whole").isNull(), F.col("options")).alias("options")
     )
 
@@ -383,14 +384,22 @@ def link_names(entities: DataFrame, aliases: DataFrame) -> DataFrame:
         .join(nodes.withColumnRenamed("node", "b"), ["kind", "core", "meaning"])
         .select("a", "b")
     )
-    # Rows are tied to names, names to their nodes: a name that many rows have is one end of few links.
-    owner, title = _node(F.lit("id"), F.col("id")), _node(F.lit("name"), F.col("name"))
-    by_name = sure.select(title.alias("a"), F.col("node").alias("b"))
-    by_row = told_by.join(sure.select("name").distinct(), "name").select(owner.alias("a"), title.alias("b"))
-    by_merge = merged.select(owner.alias("a"), _node(F.lit("id"), F.col("root")).alias("b"))
-    found = materialise(components(by_core.unionByName(by_name).unionByName(by_row).unionByName(by_merge)), "name-groups")
-    of_row = known.select("id", owner.alias("node")).join(found, "node").select("id", "component")
-    groups = materialise(nodes.join(found, "node").select("kind", "core", "meaning", "component").distinct(), "core-groups")
+    # Rows with one spelling are one vertex: the least node of it; those without a sure spelling are vertices of their own.
+    heads = materialise(sure.groupBy("name").agg(F.min("node").alias("head"), F.max("node").alias("last")), "name-heads")
+    by_name = sure.join(heads.filter("head <> last").drop("last"), "name").filter("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b"))
+    of_row = told_by.join(heads, "name").groupBy("id").agg(F.min("head").alias("vertex"), F.max("head").alias("last"))
+    of_row = materialise(of_row, "row-vertices")
+    by_row = of_row.filter("vertex <> last").select(F.col("vertex").alias("a"), F.col("last").alias("b"))
+    vertex = F.coalesce("vertex", _node(F.lit("id"), F.col("id")))
+    ends = known.join(of_row, "id", "left").select("id", vertex.alias("vertex"))
+    by_merge = merged.join(ends.withColumnRenamed("vertex", "a"), "id").join(ends.select(F.col("id").alias("root"), F.col("vertex").alias("b")), "root")
+    links = by_core.unionByName(by_name).unionByName(by_row).unionByName(by_merge.select("a", "b")).filter("a <> b").distinct()
+    found = components(links)
+    linked = ends.join(found.withColumnRenamed("node", "vertex"), "vertex", "left")
+    of_row = linked.select("id", F.coalesce("component", F.when(~F.startswith("vertex", F.lit("id|")), F.col("vertex"))).alias("component"))
+    of_row = materialise(of_row.filter("component IS NOT NULL"), "row-groups")
+    groups = nodes.join(found, "node", "left").select("kind", "core", "meaning", F.coalesce("component", "node").alias("component"))
+    groups = materialise(groups, "core-groups")
     unsure = _unsure(meant, told_by, sure, groups)
     # They go to the only group that fits, among the nearest cores.
     own = unsure.select("open", "kind", "core", "how", "asked", F.lit(0).alias("distance"))
@@ -419,8 +428,9 @@ def link_names(entities: DataFrame, aliases: DataFrame) -> DataFrame:
         .groupBy("id")
         .agg(F.min("fit").alias("fit"))
     )
+    placed = materialise(placed.filter("fit IS NOT NULL"), "placed")
     # A row that a recorded merge, or a further spelling, ties to a group takes the group with it.
-    ties = of_row.select("id", F.col("component").alias("a")).join(placed.filter("fit IS NOT NULL"), "id").select("a", F.col("fit").alias("b"))
+    ties = of_row.select("id", F.col("component").alias("a")).join(placed, "id").select("a", F.col("fit").alias("b"))
     joined = components(ties.filter("a <> b").distinct())
     return (
         known.select("id")
@@ -457,6 +467,7 @@ def _unsure(meant: DataFrame, told_by: DataFrame, sure: DataFrame, groups: DataF
 
 def linked_pairs(groups: DataFrame) -> DataFrame:
     """All pairs of ids of one entity: id_a < id_b; an entity that may have a great part of the rows is dealt to many tasks."""
+    groups = materialise(groups.select("id", "entity"), "entities-of-rows")
     hot = hot_values(groups.select("entity"), "entity")
     is_hot = F.col("entity").isin(hot) if hot else F.lit(False)
     part = F.when(is_hot, F.pmod(F.xxhash64("id"), F.lit(SALTS))).otherwise(F.lit(0)).cast("int")
