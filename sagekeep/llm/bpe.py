@@ -28,7 +28,7 @@ SPLIT = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|
 #: A blank beside other white space; texts without one fall apart at each blank, which then belongs to what follows.
 LOOSE_BLANK = re.compile(r" \s|\s |\x00|^ | $")
 
-#: Words whose ids are remembered by a Python worker; beyond that the memory starts anew.
+#: Words, and pairs of tokens, that a Python worker remembers; beyond that its memory starts anew.
 REMEMBERED = 300_000
 
 
@@ -118,6 +118,8 @@ class BytePairEncoder(dict):
         pair = (first, second)
         known = self.fits.get(pair)
         if known is None:
+            if len(self.fits) >= REMEMBERED:
+                self.fits.clear()
             known = self.fits[pair] = self.stays_apart(first, second)
         return known
 

@@ -16,7 +16,8 @@ A line takes 33 bytes of state, and lines arrive in batches, so a session that
 holds a great part of all lines needs no more than that for each of them.
 
 Defined results: null and blank lines are ignored; lines without a session belong
-to none; lines that repeat a line_id are one; lines without a uuid are their own;
+to none and are left out before anything is exchanged, but for the mark of the
+end (no line_id either, and a time from ``END`` on); lines that repeat a line_id are one; lines without a uuid are their own;
 a message that is no object counts as none; a null block type counts as absent;
 lines without an arrival time are kept, those without a line_id are left out; a session of one turn of each role is
 sound; an empty table gives no rows; further columns are ignored.
@@ -26,11 +27,9 @@ from __future__ import annotations
 
 import hashlib
 import json
-import os
 import struct
 from collections.abc import Iterator
 from datetime import UTC, datetime, timedelta
-from urllib.parse import urlparse
 
 import pandas as pd
 import pyarrow as pa
@@ -100,7 +99,7 @@ def parse_line(raw: str) -> tuple[int, int, object]:
 
 
 def parsed(lines: DataFrame) -> DataFrame:
-    """The numbers of each line that isn't blank; a line without a session only carries its time."""
+    """The numbers of each line of a session that isn't blank; the mark of the end only carries its time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -127,7 +126,8 @@ def parsed(lines: DataFrame) -> DataFrame:
         F.col("raw_line").cast("string").alias("raw_line"),
         F.col("received_at").cast("timestamp").alias("received_at"),
     )
-    return picked.mapInArrow(run, PARSED)
+    marks_end = F.col("line_id").isNull() & (F.unix_millis("received_at") >= END)
+    return picked.filter(F.col("session_id").isNotNull() | marks_end).mapInArrow(run, PARSED)
 
 
 def sound_turns(blob: bytes) -> tuple[list[int], list[int]] | None:
@@ -199,7 +199,8 @@ def conversation_stream(lines: DataFrame, watermark: timedelta = WATERMARK) -> D
 def _stream_of(spark: SparkSession, path: str) -> DataFrame:
     """A table's files as a stream; the table may be a single file."""
     reader = spark.readStream.schema(spark.read.parquet(path).schema)
-    if os.path.isfile(urlparse(path).path):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if place.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(place).isFile():
         folder, name = path.rsplit("/", 1)
         return reader.option("pathGlobFilter", name).parquet(folder)
     return reader.parquet(path)

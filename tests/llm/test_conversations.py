@@ -3,7 +3,7 @@ from datetime import datetime, timedelta
 
 import pytest
 
-from sagekeep.llm.conversations import conversations, message_text, moment_of, parse_line
+from sagekeep.llm.conversations import conversations, message_text, moment_of, parse_line, parsed
 
 START = datetime(2025, 3, 1)
 
@@ -56,6 +56,12 @@ def test_sound_sessions_only(spark, table):
     assert {tuple(r) for r in conversations(spark, path).collect()} == expected
 
 
+def test_lines_without_a_session_go_nowhere(spark):
+    lines = [(i, None, line("user"), START) for i in range(50)] + [(None, None, None, START), (None, None, None, None), (1, "s", line("user"), START)]
+    frame = spark.createDataFrame(lines, "line_id long, session_id string, raw_line string, received_at timestamp")
+    assert [r.session_id for r in parsed(frame).collect()] == ["s"]
+
+
 def test_empty_table(spark, tmp_path):
     path = str(tmp_path / "empty.parquet")
     spark.createDataFrame([], "line_id long, session_id string, received_at timestamp, raw_line string").write.parquet(path)
