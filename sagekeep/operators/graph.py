@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sagekeep.operators.vector import cosine_to, usable
 from sagekeep.runtime import read_table
 
 
@@ -46,30 +47,48 @@ class Graph:
     def table(self, name: str) -> DataFrame:
         return self.frames[name] if name in self.frames else read_table(self.spark, self.root, name)
 
-    def view(self, name: str, where: Column | str | None = None) -> DataFrame:
+    def view(self, name: str, where: Column | str | None = None, among: DataFrame | None = None) -> DataFrame:
         """The records of a table, each once, of which ``where`` holds.
 
         The versions of a record agree in all columns but a memory's last_seen_at
         and reinforce_count, so conditions on other columns are applied before the
-        versions are told apart: they reach the scan, and less is exchanged.
+        versions are told apart: they reach the scan, and less is exchanged. So is
+        ``among``, whose only column names one of the table's: records with other
+        values of it are left out first.
         """
-        key, order = VERSIONS[name]
         rows = self.table(name)
         rows = rows if where is None else rows.filter(where)
+        return self.once(name, rows if among is None else rows.join(among, among.columns[0], "left_semi"))
+
+    def once(self, name: str, rows: DataFrame) -> DataFrame:
+        """The newest version of each record among rows of a table."""
+        key, order = VERSIONS[name]
         return newest_version(rows, key, *(F.desc_nulls_last(column) for column in order))
 
-    def memory_view(self, where: Column | str | None = None) -> DataFrame:
+    def memory_view(self, where: Column | str | None = None, among: DataFrame | None = None) -> DataFrame:
         """Memories, with the defaults of missing kind, stability and count."""
-        return (
-            self.view("memories", where)
-            .withColumn("kind", F.coalesce("kind", F.lit("MEMORY")))
-            .withColumn("temporal_stability", F.coalesce("temporal_stability", F.lit("unknown")))
-            .withColumn("reinforce_count", F.coalesce("reinforce_count", F.lit(0)))
-        )
+        return self._completed(self.view("memories", where, among))
+
+    @staticmethod
+    def _completed(memories: DataFrame) -> DataFrame:
+        defaults = {"kind": F.lit("MEMORY"), "temporal_stability": F.lit("unknown"), "reinforce_count": F.lit(0)}
+        return memories.withColumns({name: F.coalesce(name, value) for name, value in defaults.items() if name in memories.columns})
 
-    def edge_view(self, where: Column | str | None = None) -> DataFrame:
+    def compared_memories(self, query: list[float], columns: list[str], where: Column | str | None = None) -> DataFrame:
+        """``columns`` and ``similarity`` to a vector of the memories that have a usable one.
+
+        The cosine is taken in the scan, so that neither vectors nor contents that
+        aren't asked for are exchanged.
+        """
+        rows = self.table("memories")
+        rows = (rows if where is None else rows.filter(where)).filter(usable("content_embedding", len(query)))
+        kept = dict.fromkeys(["id", *columns, *VERSIONS["memories"][1]])
+        rows = rows.select(*kept, cosine_to("content_embedding", query).alias("similarity"))
+        return self._completed(self.once("memories", rows)).select(*columns, "similarity")
+
+    def edge_view(self, where: Column | str | None = None, among: DataFrame | None = None) -> DataFrame:
         """Edges; a missing weight is 1, other weights (0 too) stay."""
-        return self.view("edges", where).withColumn("weight", F.coalesce("weight", F.lit(1.0)))
+        return self.view("edges", where, among).withColumn("weight", F.coalesce("weight", F.lit(1.0)))
 
     @cached_property
     def memories(self) -> DataFrame:
@@ -126,9 +145,9 @@ class Graph:
         where = F.col("t_expired").isNull()
         return self.edge_view(where & F.col("edge_type").isin(*kinds) if kinds else where)
 
-    def affects(self) -> DataFrame:
-        """Events seen as edges to their memories: without weight, confidence and expiry."""
-        return self.events.filter("memory_id IS NOT NULL").select(
+    def affects(self, among: DataFrame | None = None) -> DataFrame:
+        """Events seen as edges to their memories (memory_id in ``among`` where it is given): without weight, confidence and expiry."""
+        return self.view("memory_events", "memory_id IS NOT NULL", among).select(
             F.col("event_id").alias("from_node"), F.col("memory_id").alias("to_node"), F.lit("AFFECTS").alias("edge_type")
         )
 
@@ -162,14 +181,14 @@ class Graph:
 
     # Joins along edges
 
-    def along(self, kind: str, include_expired: bool = False, least: float | None = None) -> DataFrame:
-        """from_node, to_node, weight, confidence, t_created of one kind of edge."""
+    def along(self, kind: str, include_expired: bool = False, least: float | None = None, among: DataFrame | None = None) -> DataFrame:
+        """edge_id, from_node, to_node, weight, confidence, t_created of one kind of edge, from or to ``among`` where it is given."""
         where = F.col("edge_type") == kind
         if not include_expired:
             where &= F.col("t_expired").isNull()
         if least is not None:
             where &= confident(least)
-        return self.edge_view(where).select("edge_id", "from_node", "to_node", "weight", "confidence", "t_created")
+        return self.edge_view(where, among).select("edge_id", "from_node", "to_node", "weight", "confidence", "t_created")
 
     def chunk_members(self, include_expired: bool = False) -> DataFrame:
         """chunk_id, id, kind of the memories that each chunk contains."""
@@ -256,22 +275,68 @@ class Graph:
         )
 
     def health_report(self) -> DataFrame:
-        """One row: the counters of a housekeeping report."""
-        def one(frame: DataFrame, name: str) -> DataFrame:
-            return frame.agg(F.count(F.lit(1)).alias("value")).select(F.lit(name).alias("counter"), "value")
+        """counter, value: the counters of a housekeeping report.
 
+        Memories are read once, with what the edges at each of them say; the
+        links of a node are reduced to three flags before they meet.
+        """
+        links = self.view("edges", F.col("edge_type").isin("CONTAINS", "MENTIONS"))
+        active, mentions = F.col("t_expired").isNull(), F.col("edge_type") == "MENTIONS"
+        node = F.when(mentions, F.col("from_node")).otherwise(F.col("to_node"))
+        flags = links.groupBy(node.alias("id")).agg(
+            F.coalesce(F.bool_or(active & ~mentions), F.lit(False)).alias("contained"),
+            F.coalesce(F.bool_or(active & mentions), F.lit(False)).alias("mentioning"),
+            F.coalesce(F.bool_or(mentions), F.lit(False)).alias("extracted"),
+        )
+        rows = self.memories.select("id", "kind", "t_expired").join(flags, "id", "left").fillna(False, ["contained", "mentioning", "extracted"])
+        alone = active & ~F.col("contained")
+        of_memories = {
+            "memories": F.col("kind") == "MEMORY",
+            "summaries": F.col("kind") == "SUMMARY",
+            "expired_memories": ~active,
+            "orphaned_memories": alone & ~F.col("mentioning"),
+            "memories_without_source": alone,
+            "awaiting_extraction": active & ~F.col("extracted"),
+        }
+        expired = F.max(F.col("expired_at").isNotNull()).alias("expired")
+        entities = self.table("entities").filter("id IS NOT NULL").groupBy("id").agg(expired)
+        edges = self.table("edges").filter("edge_id IS NOT NULL").select("edge_id").distinct()
         parts = [
-            one(self.memories.filter("kind = 'MEMORY'"), "memories"),
-            one(self.memories.filter("kind = 'SUMMARY'"), "summaries"),
-            one(self.memories.filter("t_expired IS NOT NULL"), "expired_memories"),
-            one(self.entities, "entities"),
-            one(self.entities.filter("expired_at IS NOT NULL"), "expired_entities"),
-            one(self.edges, "edges"),
-            one(self.orphaned_memories(), "orphaned_memories"),
-            one(self.memories_without_source(), "memories_without_source"),
-            one(self.awaiting_extraction(), "awaiting_extraction"),
+            rows.agg(*(F.count_if(where).alias(name) for name, where in of_memories.items())),
+            entities.agg(F.count(F.lit(1)).alias("entities"), F.count_if("expired").alias("expired_entities")),
+            edges.agg(F.count(F.lit(1)).alias("edges")),
         ]
-        report = parts[0]
-        for part in parts[1:]:
-            report = report.unionByName(part)
-        return report
+        long = [part.unpivot([], part.columns, "counter", "value") for part in parts]
+        return long[0].unionByName(long[1]).unionByName(long[2])
+
+    # Getters of the edges and neighbours of given nodes
+
+    def edges_from(self, nodes: DataFrame, kind: str | None = None, include_expired: bool = False, least: float | None = None) -> DataFrame:
+        """The edges that go out of ``nodes`` (id), oldest first."""
+        return self._edges_at("from_node", nodes, kind, include_expired, least)
+
+    def edges_to(self, nodes: DataFrame, kind: str | None = None, include_expired: bool = False, least: float | None = None) -> DataFrame:
+        """The edges that come into ``nodes`` (id), oldest first; of no kind, or of AFFECTS, events are among them."""
+        found = self._edges_at("to_node", nodes, None if kind == "AFFECTS" else kind, include_expired, least)
+        if kind not in (None, "AFFECTS"):
+            return found
+        events = self.view("memory_events", "memory_id IS NOT NULL", nodes.select(F.col("id").alias("memory_id")).distinct()).select(
+            F.col("event_id").alias("edge_id"), F.col("event_id").alias("from_node"), F.col("memory_id").alias("to_node"),
+            F.lit("AFFECTS").alias("edge_type"), F.lit(1.0).alias("weight"), F.lit(None).cast("double").alias("confidence"),
+            F.col("occurred_at").alias("t_created"),
+        )
+        return (events if kind else found.unionByName(events)).orderBy("t_created", "edge_id")
+
+    def _edges_at(self, end: str, nodes: DataFrame, kind: str | None, include_expired: bool, least: float | None) -> DataFrame:
+        where = F.lit(True) if include_expired else F.col("t_expired").isNull()
+        where = where if kind is None else where & (F.col("edge_type") == kind)
+        where = where if least is None else where & confident(least)
+        found = self.edge_view(where, nodes.select(F.col("id").alias(end)).distinct())
+        columns = ["edge_id", "from_node", "to_node", "edge_type", "weight", "confidence", "t_created"]
+        return found.select(columns).orderBy("t_created", "edge_id")
+
+    def chunk_summaries(self) -> DataFrame:
+        """chunk_id, id: the latest active summary that a chunk holds."""
+        summaries = self.memory_view("kind = 'SUMMARY' AND t_expired IS NULL").select("id", "created_at")
+        links = self.along("CONTAINS").select(F.col("from_node").alias("chunk_id"), F.col("to_node").alias("id")).distinct()
+        return links.join(summaries, "id").groupBy("chunk_id").agg(F.max_by("id", F.struct("created_at", "id")).alias("id"))

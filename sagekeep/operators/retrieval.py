@@ -8,21 +8,22 @@ from pyspark.sql import functions as F
 
 from sagekeep.functions.scores import DEFAULT, ScoreConfig, graph_boost, reinforcement, temporal_confidence
 from sagekeep.operators.graph import Graph
-from sagekeep.operators.vector import cosine_to, top_k
+from sagekeep.operators.vector import cosine_to
+from sagekeep.runtime import materialise
 
 
 def multipliers(graph: Graph, candidates: DataFrame, moment: Column, config: ScoreConfig = DEFAULT) -> DataFrame:
     """The candidates with reinforcement, boost, confidence and their product ``multiplier``.
 
-    Events and edges are reduced to the candidates before they are grouped, so a
-    search over few candidates never groups the whole log.
+    Events and edges are reduced to the candidates before their versions are told
+    apart, so a search over few candidates neither ranks nor groups the whole log.
     """
     ids = candidates.select("id").distinct()
-    log = graph.events.join(ids.withColumnRenamed("id", "memory_id"), "memory_id", "left_semi")
-    log = log.filter(F.col("event_type").startswith("REINFORCE"))
+    of_memory = ids.withColumnRenamed("id", "memory_id")
+    log = graph.view("memory_events", F.col("event_type").startswith("REINFORCE"), of_memory)
     strength = reinforcement(log, moment, config).withColumnsRenamed({"memory_id": "id", "multiplier": "reinforcement"})
-    links = graph.active_edges().select("to_node").unionByName(graph.affects().select("to_node"))
-    degrees = links.join(ids.withColumnRenamed("id", "to_node"), "to_node", "left_semi")
+    links = graph.edge_view("t_expired IS NULL", ids.withColumnRenamed("id", "to_node")).select("to_node")
+    degrees = links.unionByName(graph.affects(of_memory).select("to_node"))
     degrees = degrees.groupBy(F.col("to_node").alias("id")).agg(F.count(F.lit(1)).alias("degree"))
     scored = candidates.join(strength, "id", "left").join(degrees, "id", "left")
     return (
@@ -35,13 +36,15 @@ def multipliers(graph: Graph, candidates: DataFrame, moment: Column, config: Sco
     )
 
 
-def entity_scores(graph: Graph, matched: DataFrame, least: float = 0.0) -> DataFrame:
-    """id, entity_score: for each memory the best of match similarity times mention confidence.
+def entity_scores(graph: Graph, matched: DataFrame, least: float = 0.0, among: DataFrame | None = None) -> DataFrame:
+    """id, entity_score: for each memory (of ``among``, id, where it is given) the best of match similarity times mention confidence.
 
     ``matched`` has entity_id and similarity. A missing confidence, and one of 0, counts as 1.
     """
     sure = F.when(F.col("confidence").isNull() | (F.col("confidence") == 0), 1.0).otherwise(F.col("confidence"))
-    links = graph.along("MENTIONS", least=least).select(F.col("from_node").alias("id"), F.col("to_node").alias("entity_id"), sure.alias("sure"))
+    among = None if among is None else among.select(F.col("id").alias("from_node")).distinct()
+    links = graph.along("MENTIONS", least=least, among=among)
+    links = links.select(F.col("from_node").alias("id"), F.col("to_node").alias("entity_id"), sure.alias("sure"))
     return matched.join(links, "entity_id").groupBy("id").agg(F.max(F.col("similarity") * F.col("sure")).alias("entity_score"))
 
 
@@ -81,10 +84,10 @@ def hybrid_search(
     Entities only re-rank candidates, they never add any.
     """
     where = None if include_expired else F.col("t_expired").isNull()
-    candidates = top_k(graph.memories, "id", "content_embedding", query, limit * overfetch, where)
-    candidates = candidates.select("id", "created_at", "t_valid", "temporal_stability", "similarity")
+    candidates = graph.compared_memories(query, ["id", "created_at", "t_valid", "temporal_stability"], where)
+    candidates = materialise(candidates.orderBy(F.desc("similarity"), "id").limit(limit * overfetch), "candidates")
     if matched is not None:
-        scores = entity_scores(graph, matched)
+        scores = entity_scores(graph, matched, among=candidates)
         candidates = candidates.join(scores, "id", "left")
         any_match = F.max(F.col("entity_score").isNotNull()).over(W.partitionBy(F.lit(1)))
         blended = (1 - entity_weight) * F.col("similarity") + entity_weight * F.coalesce("entity_score", F.lit(0.0))
@@ -107,15 +110,19 @@ def recall(
     """Memories around the summaries nearest to a query.
 
     The nearest summaries lead to their chunks, those to all memories in them;
-    each chunk is expanded once, each row scored once.
+    each chunk is expanded once, each row scored once. Without a ``limit`` all
+    summaries count as near, and all memories around them are given.
     """
     active = F.lit(True) if include_expired else F.col("t_expired").isNull()
-    summaries = top_k(graph.memories, "id", "content_embedding", query, (limit or 100) * overfetch, (F.col("kind") == "SUMMARY") & active)
-    links = graph.along("CONTAINS").select(F.col("from_node").alias("chunk_id"), F.col("to_node").alias("id")).distinct()
-    chunks = links.join(summaries.select("id"), "id").select("chunk_id").distinct()
-    members = links.join(chunks, "chunk_id").select("id")
-    wanted = members.unionByName(summaries.select("id")).distinct()
-    rows = graph.memories.filter(active).join(wanted, "id", "left_semi")
+    summaries = graph.compared_memories(query, ["id"], (F.col("kind") == "SUMMARY") & active)
+    if limit is not None:
+        summaries = summaries.orderBy(F.desc("similarity"), "id").limit(limit * overfetch)
+    summaries = materialise(summaries.select("id"), "summaries")
+    of_summaries = graph.along("CONTAINS", among=summaries.select(F.col("id").alias("to_node")))
+    chunks = of_summaries.select("from_node").distinct()
+    members = graph.along("CONTAINS", among=chunks).select(F.col("to_node").alias("id"))
+    wanted = materialise(members.unionByName(summaries).distinct(), "members")
+    rows = graph.memory_view(active, wanted)
     rows = rows.withColumn("similarity", F.coalesce(cosine_to("content_embedding", query), F.lit(0.0)))
     rows = rows.select("id", "kind", "content", "created_at", "t_valid", "temporal_stability", "similarity")
     scored = multipliers(graph, rows, moment, config).withColumn("score", F.col("similarity") * F.col("multiplier"))

@@ -175,6 +175,55 @@ def node_labels(g: Graph) -> DataFrame:
     return g.node_labels(40)
 
 
+_SOURCES = "fifth AS (SELECT DISTINCT id FROM m WHERE temporal_stability = 'static')"
+
+
+def _static(g: Graph) -> DataFrame:
+    return g.memory_view("temporal_stability = 'static'").select("id")
+
+
+@register(query("mg", """SELECT edge_id, from_node, to_node, edge_type, weight, epoch_us(t_created) AS created FROM g WHERE from_node IN (SELECT id FROM fifth) AND t_expired IS NULL
+  AND (confidence IS NULL OR confidence >= 0.5)""", _SOURCES))
+def edges_out_of_memories(g: Graph) -> DataFrame:
+    found = g.edges_from(_static(g), least=0.5)
+    return found.select("edge_id", "from_node", "to_node", "edge_type", "weight", micros("t_created").alias("created"))
+
+
+@register(query("mgv", """SELECT edge_id, from_node, to_node, edge_type, weight, epoch_us(t_created) AS created FROM g WHERE to_node IN (SELECT id FROM fifth)
+  UNION ALL SELECT event_id, event_id, memory_id, 'AFFECTS', 1.0, epoch_us(occurred_at) FROM v WHERE memory_id IN (SELECT id FROM fifth)""", _SOURCES))
+def edges_into_memories(g: Graph) -> DataFrame:
+    found = g.edges_to(_static(g), include_expired=True)
+    return found.select("edge_id", "from_node", "to_node", "edge_type", "weight", micros("t_created").alias("created"))
+
+
+@register(query("mg", "SELECT edge_id, from_node, to_node, edge_type FROM g WHERE from_node IN (SELECT id FROM fifth) AND edge_type = 'MENTIONS' AND t_expired IS NULL", _SOURCES))
+def mentions_of_memories(g: Graph) -> DataFrame:
+    return g.edges_from(_static(g), "MENTIONS").select("edge_id", "from_node", "to_node", "edge_type")
+
+
+@register(query("mg", """SELECT chunk_id, arg_max(id, (created_at, id)) AS id FROM links JOIN m USING (id) WHERE kind = 'SUMMARY' AND t_expired IS NULL GROUP BY chunk_id""", _LINKS))
+def chunk_summaries(g: Graph) -> DataFrame:
+    return g.chunk_summaries()
+
+
+@register(query("e", "SELECT id, entity_type, canonical_name FROM e WHERE id = (SELECT min(id) FROM entities)"))
+def entity_by_id(g: Graph) -> DataFrame:
+    least = g.table("entities").agg(F.min("id")).first()[0]
+    return g.by_id("entities", "id", least).select("id", "entity_type", "canonical_name")
+
+
+@register(query("m", "SELECT id, kind, content, reinforce_count FROM m WHERE id = (SELECT min(id) FROM memories)"))
+def memory_by_id(g: Graph) -> DataFrame:
+    least = g.table("memories").agg(F.min("id")).first()[0]
+    return g.by_id("memories", "id", least).select("id", "kind", "content", "reinforce_count")
+
+
+@register(query("g", "SELECT edge_id, from_node, to_node, weight FROM g WHERE edge_id = (SELECT min(edge_id) FROM edges)"))
+def edge_by_id(g: Graph) -> DataFrame:
+    least = g.table("edges").agg(F.min("edge_id")).first()[0]
+    return g.by_id("edges", "edge_id", least).select("edge_id", "from_node", "to_node", "weight")
+
+
 # Counts
 
 

@@ -33,23 +33,22 @@ _ASKED = """texts AS (SELECT session_id, string_agg(block, chr(10) || chr(10) OR
   SELECT session_id, CASE WHEN length(text) > 500 THEN '...' || right(text, 497) ELSE text END AS query FROM texts"""
 
 
-# The first three queries tell lines apart by line_id only, as their SQL does; those named _once count a line by its uuid too.
+# A line counts once by its uuid, in the queries as in their SQL.
 
 
-@register(f"WITH {_LINES} SELECT session_id, line_id, block FROM blocks")
+@register(f"WITH {_ONCE} {_BLOCKS}")
 def session_blocks(g: Graph) -> DataFrame:
-    return sessions.session_blocks(g.table("session_lines"), by_uuid=False).select("session_id", "line_id", "block")
+    return sessions.session_blocks(g.table("session_lines")).select("session_id", "line_id", "block")
 
 
-@register(f"WITH {_LINES} SELECT session_id, string_agg(block, chr(10) || chr(10) ORDER BY line_id) AS text, count(*) AS blocks FROM blocks GROUP BY session_id")
+@register(f"WITH {_ONCE} {_TEXT}")
 def session_text(g: Graph) -> DataFrame:
-    return sessions.session_texts(sessions.session_blocks(g.table("session_lines"), by_uuid=False))
+    return sessions.session_texts(sessions.session_blocks(g.table("session_lines")))
 
 
-@register(f"""WITH {_LINES}, texts AS (SELECT session_id, string_agg(block, chr(10) || chr(10) ORDER BY line_id) AS text FROM blocks GROUP BY session_id)
-  SELECT session_id, CASE WHEN length(text) > 500 THEN '...' || right(text, 497) ELSE text END AS query FROM texts""")
+@register(f"WITH {_ONCE}, {_ASKED}")
 def recall_queries(g: Graph) -> DataFrame:
-    return sessions.recall_queries(sessions.session_texts(sessions.session_blocks(g.table("session_lines"), by_uuid=False)))
+    return sessions.recall_queries(sessions.session_texts(sessions.session_blocks(g.table("session_lines"))))
 
 
 @register(f"WITH {_ONCE} {_BLOCKS}")
@@ -126,7 +125,10 @@ def summary_render(g: Graph) -> DataFrame:
     return extract.summary_texts(members).select("chunk_id", "text", F.size("memory_ids").cast("long").alias("bullets"))
 
 
-@register(None)
+@register(query("mg", """SELECT s.summary AS from_node, id AS to_node, 'SUMMARIZES' AS edge_type FROM s JOIN (SELECT chunk_id, id FROM links JOIN m USING (id) WHERE t_expired IS NULL) USING (chunk_id)
+  UNION ALL SELECT chunk_id, summary, kind FROM s, (VALUES ('CONTAINS'), ('SUMMARIZED_BY')) k(kind)""",
+    "links AS (SELECT DISTINCT from_node AS chunk_id, to_node AS id FROM g WHERE edge_type = 'CONTAINS' AND t_expired IS NULL)",
+    """s AS (SELECT chunk_id, 'mem_' || substr(sha256('summary|' || chunk_id), 1, 16) AS summary FROM links JOIN m USING (id) WHERE t_expired IS NULL GROUP BY chunk_id HAVING count(*) >= 2)"""))
 def summary_links(g: Graph) -> DataFrame:
     members = g.chunk_members().select("chunk_id", "id", "created_at").join(g.memories.select("id", "content"), "id")
     members = materialise(members, "chunk-members")
@@ -201,13 +203,16 @@ def streaming_reinforcement(g: Graph) -> DataFrame:
     return latest.join(counts, "id").select("id", rounded("multiplier", "multiplier"), "n")
 
 
-@register(None)
+@register(query("v", """SELECT strftime(make_timestamp(epoch_us(occurred_at)), '%Y-%m-%d') AS day, event_type, count(*) AS events
+  FROM v WHERE occurred_at IS NOT NULL GROUP BY 1, 2"""))
 def streaming_daily_counts(g: Graph) -> DataFrame:
     found = _run(streams.daily_counts(_event_stream(g, closed=True)), "append").filter(F.col("day") < _end())
     return found.select(F.date_format("day", "yyyy-MM-dd").alias("day"), "event_type", "events")
 
 
-@register(None)
+@register(query("v", """SELECT memory_id, min(t) AS first, count(*) AS events FROM (SELECT *, sum(fresh) OVER (PARTITION BY memory_id ORDER BY t, event_id ROWS UNBOUNDED PRECEDING) AS burst FROM (
+    SELECT memory_id, event_id, epoch_us(occurred_at) AS t, CASE WHEN epoch_us(occurred_at) - lag(epoch_us(occurred_at)) OVER (PARTITION BY memory_id ORDER BY epoch_us(occurred_at), event_id) < 86400000000 THEN 0 ELSE 1 END AS fresh
+    FROM v WHERE memory_id IS NOT NULL AND occurred_at IS NOT NULL)) GROUP BY memory_id, burst"""))
 def streaming_bursts(g: Graph) -> DataFrame:
     found = _run(streams.bursts(_event_stream(g, closed=True)), "append").filter(F.col("first") < _end())
     return found.select("memory_id", F.unix_micros("first").alias("first"), "events")

@@ -64,10 +64,13 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh path in the folder that all executors share.
 
     The cluster names that folder in ``spark.checkpoint.dir``. Only where the
-    setting is absent (local tests) one is made under the temporary folder.
+    setting is absent and all runs on one machine (local tests) one is made under
+    the temporary folder; on a cluster its absence is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         own = spark.sparkContext.applicationId
         if own not in _OWN_ROOTS:
             _OWN_ROOTS[own] = "file://" + tempfile.mkdtemp(prefix="spark-")

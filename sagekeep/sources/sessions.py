@@ -62,8 +62,8 @@ def message_texts(parsed: DataFrame, key: list[str], config: SessionConfig = Ses
     )
     rows = parsed.filter(F.col("role").isin(*config.roles)).withColumn("content", content)
     shape = F.schema_of_variant("content")
-    plain = rows.filter(shape == "STRING").select(*key, "role", F.lit(0).alias("at"), _field(F.col("content"), "$").alias("text"))
-    listed = rows.filter(shape.startswith("ARRAY")).select(*key, "role", F.posexplode(F.try_variant_get("content", "$", "array<variant>")).alias("at", "block"))
+    items = F.when(shape == "STRING", F.array("content")).when(shape.startswith("ARRAY"), F.try_variant_get("content", "$", "array<variant>"))
+    listed = rows.select(*key, "role", F.posexplode(items).alias("at", "block"))
     kind = _field(F.col("block"), "$.type")
     dropped = F.lit(False)
     if config.drop_thinking:
@@ -72,10 +72,10 @@ def message_texts(parsed: DataFrame, key: list[str], config: SessionConfig = Ses
         dropped |= kind.isin("tool_use", "tool_result")
     allowed = kind.isNull() | (kind.isin(*config.block_types) & ~dropped)
     text = F.when(F.schema_of_variant("block") == "STRING", _field(F.col("block"), "$")).otherwise(_field(F.col("block"), "$.text"))
-    blocks = listed.filter(F.coalesce(allowed, F.lit(True))).select(*key, "role", "at", text.alias("text"))
-    said = plain.unionByName(blocks).withColumn("text", strip("text")).filter("text <> ''")
+    blocks = listed.filter(F.coalesce(allowed, F.lit(True))).select(*key, "role", "at", strip(text).alias("text"))
     parts = F.array_sort(F.collect_list(F.struct("at", "text")))
-    return said.groupBy(*key, "role").agg(F.array_join(F.transform(parts, lambda p: p["text"]), "\n").alias("text"))
+    said = blocks.filter("text <> ''").groupBy(*key, "role")
+    return said.agg(F.array_join(F.transform(parts, lambda p: p["text"]), "\n").alias("text"))
 
 
 def lines_once(parsed: DataFrame) -> DataFrame:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from datetime import timedelta
+from itertools import pairwise
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -40,43 +42,64 @@ def new_contents(commits: DataFrame, time: str = "occurred_at", delay: str = "7
     return commits.withWatermark(time, delay).dropDuplicatesWithinWatermark(["content_hash"])
 
 
-def reinforcement_trace(events: DataFrame, delay: str = "2 days", config: ScoreConfig = DEFAULT) -> DataFrame:
-    """memory_id, trace, at, multiplier: the decayed sum of a memory's events, updated with each of them.
+def reinforcement_trace(
+    events: DataFrame, delay: timedelta = timedelta(days=2), kept: timedelta | None = None, config: ScoreConfig = DEFAULT
+) -> DataFrame:
+    """memory_id, trace, at_ms, multiplier: the decayed sum of a memory's events, updated with each of them.
 
-    The state is one number and one moment: ``trace(t2) = trace(t1) exp(-(t2 - t1) / tau) + weight``.
-    The batch operator discounts an event by the gap to the next newer one; here
-    the older of the two is discounted when the newer one comes, which gives the
-    same sum. Events that come out of order within a batch are sorted first; later
-    ones than that are left to the batch operator.
+    The state is a sum, the moment that it holds for, and the moments of the last
+    ``delay``: ``sum(t2) = (sum(t1) + weight) exp(-(t2 - t1) / tau)``. An event is
+    discounted by the gap to the next newer one, so an event's weight is settled
+    only when no other can come between: late ones within ``delay`` of the newest
+    find their place, in whatever batch they come. Those that are later still are
+    added too, discounted by the gap to the oldest moment that is kept, which
+    differs from the batch operator only where a settled event lay closer.
+    The state of a memory is two numbers and its last moments. With ``kept``, for
+    streams that run on, a memory without events for so long is forgotten.
     """
     day, tau = 86_400_000.0, config.tau_days
+    behind = int(delay.total_seconds() * 1000)
+
+    def weight(at: int, newer: int) -> float:
+        return config.burst_discount if (newer - at) / 3_600_000.0 < config.cooldown_hours else 1.0
+
+    def decay(at: int, newer: int) -> float:
+        return math.exp(-(newer - at) / day / tau)
 
     def follow(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        settled, newest, weight = state.get if state.exists else (0.0, None, 0.0)
-        moments = sorted(int(t.timestamp() * 1000) for pdf in frames for t in pdf["occurred_at"])
-        for at in moments:
-            if newest is None:
-                newest, weight = at, 1.0
-                continue
-            if at < newest:
-                continue
-            close = (at - newest) / 3_600_000.0 < config.cooldown_hours
-            settled = (settled + (config.burst_discount if close else 1.0) * weight) * math.exp(-(at - newest) / day / tau)
-            newest, weight = at, 1.0
-        state.update((settled, newest, weight))
-        trace = settled + weight
-        row = {"memory_id": [key[0]], "trace": [trace], "at_ms": [newest], "multiplier": [1 + config.k * math.log1p(trace)]}
+        if state.hasTimedOut:
+            state.remove()
+            return
+        settled, recent = state.get if state.exists else (0.0, [])
+        recent = list(recent)
+        came = sorted(int(t.timestamp() * 1000) for pdf in frames for t in pdf["occurred_at"])
+        if recent:
+            for at in (at for at in came if at < recent[0]):
+                settled += weight(at, recent[0]) * decay(at, recent[0])
+        moments = sorted([*recent, *(at for at in came if not recent or at >= recent[0])])
+        # One moment before the border stays, as its weight hangs on what may still come behind the border.
+        border = moments[-1] - behind
+        while len(moments) > 1 and moments[1] < border:
+            settled = (settled + weight(moments[0], moments[1])) * decay(moments[0], moments[1])
+            moments.pop(0)
+        state.update((settled, moments))
+        if kept is not None:
+            state.setTimeoutDuration(int(kept.total_seconds() * 1000))
+        trace = settled
+        for at, newer in pairwise(moments):
+            trace = (trace + weight(at, newer)) * decay(at, newer)
+        trace += 1.0
+        row = {"memory_id": [key[0]], "trace": [trace], "at_ms": [moments[-1]], "multiplier": [1 + config.k * math.log1p(trace)]}
         yield pd.DataFrame(row)
 
     return (
         events.filter("memory_id IS NOT NULL AND occurred_at IS NOT NULL")
-        .withWatermark("occurred_at", delay)
         .groupBy("memory_id")
         .applyInPandasWithState(
             follow,
             "memory_id string, trace double, at_ms long, multiplier double",
-            "settled double, newest long, weight double",
+            "settled double, recent array<long>",
             "update",
-            GroupStateTimeout.NoTimeout,
+            GroupStateTimeout.NoTimeout if kept is None else GroupStateTimeout.ProcessingTimeTimeout,
         )
     )

@@ -32,6 +32,20 @@ def test_running_trace_equals_the_batch(spark, tmp_path):
         assert got[memory] == pytest.approx(reinforcement(batch, newest).first().multiplier, abs=1e-9)
 
 
+def test_late_events_of_later_batches_count(spark, tmp_path):
+    hours = [100, 103, 90, 140, 101, 139.5, 141, 60, 600, 595, 598]  # 60 comes later than the delay
+    path = str(tmp_path / "events")
+    for place, h in enumerate(hours):
+        row = [(f"a{place}", "a", "REINFORCE", T0 + timedelta(hours=h), "x")]
+        spark.createDataFrame(row, SCHEMA).coalesce(1).write.mode("append").parquet(path)
+    source = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(path)
+    found = _run(streams.reinforcement_trace(source), "update")
+    assert found.count() == len(hours)
+    batch = spark.createDataFrame([(str(i), "a", "REINFORCE", T0 + timedelta(hours=h), "x") for i, h in enumerate(hours)], SCHEMA)
+    expected = reinforcement(batch, F.lit(T0 + timedelta(hours=600)).cast("timestamp")).first().multiplier
+    assert found.orderBy(F.desc("at_ms"), F.desc("trace")).first().multiplier == pytest.approx(expected, abs=1e-9)
+
+
 def test_windows_close_and_repeats_are_dropped(spark, tmp_path, rows):
     table = [("e1", "m", "ADD", T0, "h"), ("e1", "m", "ADD", T0, "h"), ("e2", "m", "ADD", T0 + timedelta(hours=20), "h"), ("e3", "m", "ADD", T0 + timedelta(days=9), "k"), ("e4", None, "ADD", T0, "k")]
     source = stream(spark, tmp_path, table)
