@@ -8,11 +8,11 @@ import json
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sagekeep.functions.text import preview
+from sagekeep.functions.text import identifier, preview
 from sagekeep.operators import commit, extract, retrieval
 from sagekeep.operators.graph import Graph
 from sagekeep.operators.ingest import IngestConfig, ingest
-from sagekeep.runtime import build_session, ship_package
+from sagekeep.runtime import build_session, materialise, ship_package
 from sagekeep.sources import sessions
 from sagekeep.sources.config import load_settings
 from sagekeep.sources.store import Store
@@ -37,7 +37,7 @@ def parser() -> argparse.ArgumentParser:
     add("recall", (("query",), {}), help="memories around the summaries nearest to a text")
     add("search", (("query",), {}), help="memories nearest to a text, re-ranked")
     add("ingest", (("paths",), {"nargs": "+"}), (("--recursive",), {"action": "store_true"}), (("--pattern",), {}), help="add files")
-    add("deprecate", (("ids",), {"nargs": "+"}), help="expire memories")
+    add("deprecate", (("ids",), {"nargs": "+"}), (("--reason",), {"default": "deprecated by hand"}), help="expire memories")
     add("purge-entities", (("--force",), {"action": "store_true"}), help="drop all entities and their edges")
     add("embed", help="compute the vectors of all memories anew")
     add("report", help="counters of the graph's health")
@@ -83,7 +83,12 @@ def run(args: argparse.Namespace, spark, embedder: extract.Embedder | None = Non
     if args.command == "deprecate":
         ids = spark.createDataFrame([(i,) for i in args.ids], "id string")
         hit = graph.active_memories().join(ids, "id", "left_semi").select("id")
-        store.publish(memories=commit.deprecate(frames["memories"], ids, now))
+        hit = materialise(hit, "deprecated")
+        events = hit.select(
+            identifier("evt_", F.lit("deprecate"), "id").alias("event_id"), F.col("id").alias("memory_id"), F.lit("DEPRECATE").alias("event_type"),
+            now.alias("occurred_at"), F.lit("manual").alias("source"), F.to_json(F.struct(F.lit(args.reason).alias("reason"))).alias("payload"),
+        )
+        store.change({"memories": commit.deprecate(frames["memories"], ids, now)}, {"memory_events": events})
         return hit
     if args.command == "purge-entities":
         if not args.force:

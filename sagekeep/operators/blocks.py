@@ -1,8 +1,8 @@
 """Similar pairs of two sets of vectors, block by block.
 
-Rows are dealt to blocks by a hash, each pair of blocks meets in one task, and a
-task gives at most ``k`` matches for each of its rows, so that no list of all
-pairs ever exists.
+Rows are dealt to blocks by a hash and packed to matrices, each pair of blocks
+meets in one task, and a task gives at most ``k`` matches for each of its rows, so
+that no list of all pairs ever exists, however many vectors are equal.
 """
 
 from __future__ import annotations
@@ -15,50 +15,76 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-ROWS_OF_A_BLOCK = 20_000
+#: Rows of a block, and rows that are packed to one matrix before they are exchanged.
+ROWS_OF_A_BLOCK, ROWS_OF_A_PACK = 20_000, 4_096
 SLICE = 512
 
 
-def _side(df: DataFrame, side: int, mine: int, theirs: int) -> DataFrame:
-    block = F.pmod(F.xxhash64("id"), F.lit(mine)).cast("int")
-    others = F.sequence(F.lit(0), F.lit(theirs - 1))
-    rows = df.select("id", "vector", "place", block.alias("b"), F.explode(others).alias("o"))
+def _packs(df: DataFrame, side: int, count: int, mine: int, theirs: int) -> DataFrame:
+    """Matrices of the rows of each block, sent once to each block of the other side: side, i, j, ids, vectors, places."""
+    packs = max(1, math.ceil(count / mine / ROWS_OF_A_PACK))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        vectors = np.array(pdf["vector"].tolist(), "<f8").tobytes()
+        return pd.DataFrame({"b": [int(pdf["b"].iat[0])], "ids": [pdf["id"].tolist()], "vectors": [vectors], "places": [pdf["place"].tolist()]})
+
+    rows = df.select("id", F.col("vector").cast("array<double>").alias("vector"), F.col("place").cast("long").alias("place"))
+    packed = (
+        rows.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(mine)).cast("int"))
+        .withColumn("pack", F.pmod(F.hash("id"), F.lit(packs)))
+        .groupBy("b", "pack")
+        .applyInPandas(run, "b int, ids array<string>, vectors binary, places array<long>")
+        .withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(theirs - 1))))
+    )
     first, second = ("b", "o") if side == 0 else ("o", "b")
-    return rows.select("id", "vector", "place", F.lit(side).alias("side"), F.col(first).alias("i"), F.col(second).alias("j"))
+    return packed.select(F.lit(side).alias("side"), F.col(first).alias("i"), F.col(second).alias("j"), "ids", "vectors", "places")
+
+
+def _matrix(part: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """ids, unit vectors and places of some packs, by id."""
+    ids = np.array([i for of_pack in part["ids"] for i in of_pack], dtype=object)
+    places = np.array([p for of_pack in part["places"] for p in of_pack], np.int64)
+    raw = np.frombuffer(b"".join(part["vectors"]), "<f8").reshape(len(ids), -1)
+    at = np.argsort(ids.astype(str), kind="stable")
+    raw = raw[at]
+    return ids[at], raw / np.sqrt((raw * raw).sum(1))[:, None], places[at]
+
+
+def _best(near: np.ndarray, k: int) -> np.ndarray:
+    """Where the k largest finite values of each row stand, the first ones among equals."""
+    if near.shape[1] <= k:
+        return np.isfinite(near)
+    least = np.partition(near, -k, axis=1)[:, -k, None]
+    above, level = near > least, (near == least) & np.isfinite(near)
+    return above | level & (np.cumsum(level, axis=1) <= k - above.sum(1)[:, None])
 
 
 def _tile(part: pd.DataFrame, least: float, k: int, earlier: bool) -> pd.DataFrame:
     """The k best right rows of each left row of one pair of blocks."""
-    sides = [part[part["side"] == s].sort_values("id") for s in (0, 1)]
-    out: list[pd.DataFrame] = []
+    sides = [part[part["side"] == s] for s in (0, 1)]
+    out = [pd.DataFrame({"id": pd.Series(dtype=object), "other": pd.Series(dtype=object), "similarity": pd.Series(dtype=float)})]
     if all(len(s) for s in sides):
-        units = []
-        for side in sides:
-            matrix = np.array(side["vector"].tolist(), np.float64)
-            units.append(matrix / np.sqrt((matrix * matrix).sum(1))[:, None])
-        ids, places = [s["id"].to_numpy() for s in sides], [s["place"].to_numpy() for s in sides]
-        for at in range(0, len(ids[0]), SLICE):
-            near = np.round(units[0][at : at + SLICE] @ units[1].T, 12)
-            fits = (near >= least) & (ids[0][at : at + SLICE, None] != ids[1][None, :])
+        (ids, units, places), (their_ids, their_units, their_places) = (_matrix(s) for s in sides)
+        for at in range(0, len(ids), SLICE):
+            near = np.round(units[at : at + SLICE] @ their_units.T, 12)
+            fits = (near >= least) & (ids[at : at + SLICE, None] != their_ids[None, :])
             if earlier:
-                fits &= places[1][None, :] < places[0][at : at + SLICE, None]
-            rows, columns = np.nonzero(fits)
-            if len(rows):
-                found = pd.DataFrame({"id": ids[0][at + rows], "other": ids[1][columns], "similarity": near[rows, columns]})
-                found = found.sort_values(["id", "similarity", "other"], ascending=[True, False, True])
-                out.append(found.groupby("id", sort=False).head(k))
-    columns = {"id": pd.Series(dtype=object), "other": pd.Series(dtype=object), "similarity": pd.Series(dtype=float)}
-    return pd.concat(out) if out else pd.DataFrame(columns)
+                fits &= their_places[None, :] < places[at : at + SLICE, None]
+            near[~fits] = -np.inf
+            rows, columns = np.nonzero(_best(near, k))
+            out.append(pd.DataFrame({"id": ids[at + rows], "other": their_ids[columns], "similarity": near[rows, columns]}))
+    return pd.concat([o for o in out if len(o)] or out)
 
 
 def best_matches(left: DataFrame, right: DataFrame, least: float, k: int, earlier: bool = False) -> DataFrame:
     """id, other, similarity: for each row of ``left`` the k most similar of ``right``, ties by id.
 
     Both have id, vector (usable ones only) and place; with ``earlier`` only rows
-    of a smaller place count.
+    of a smaller place count. They are read twice, so they should be tables.
     """
-    sizes = [math.ceil(df.count() / ROWS_OF_A_BLOCK) or 1 for df in (left, right)]
-    both = _side(left, 0, sizes[0], sizes[1]).unionByName(_side(right, 1, sizes[1], sizes[0]))
+    counts = [df.count() for df in (left, right)]
+    sizes = [math.ceil(n / ROWS_OF_A_BLOCK) or 1 for n in counts]
+    both = _packs(left, 0, counts[0], sizes[0], sizes[1]).unionByName(_packs(right, 1, counts[1], sizes[1], sizes[0]))
     partial = (
         both.repartition(max(1, 4 * sizes[0] * sizes[1]), "i", "j")
         .groupBy("i", "j")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from sagekeep.functions.text import content_hash, evidence, identifier, normalise_content
 from sagekeep.operators.blocks import best_matches
+from sagekeep.operators.skew import salted_join
 from sagekeep.operators.vector import usable
 from sagekeep.runtime import materialise
 
@@ -50,8 +51,8 @@ def canonical_by_hash(memories: DataFrame) -> DataFrame:
 def nearest_memory(incoming: DataFrame, memories: DataFrame, least: float, dim: int) -> DataFrame:
     """id, other, similarity: the memory most like each incoming row (id, vector), expired ones and summaries included."""
     sides = [
-        df.filter(usable("vector", dim)).withColumn("place", F.lit(0))
-        for df in (incoming, memories.select("id", F.col("content_embedding").alias("vector")))
+        materialise(df.filter(usable("vector", dim)).withColumn("place", F.lit(0)), "compared")
+        for df in (incoming.select("id", "vector"), memories.select("id", F.col("content_embedding").alias("vector")))
     ]
     return best_matches(*sides, max(least, 1e-12), 1)
 
@@ -74,10 +75,11 @@ def decide(memories: DataFrame, incoming: DataFrame, rules: Hygiene = Hygiene())
         near = asking.filter("false").select("id", F.col("id").alias("other"))
     judged = sound.join(near.select("id", F.col("other").alias("near")), "id", "left")
     stored = canonical_by_hash(memories).select("content_hash", F.col("id").alias("stored"))
-    judged = judged.join(stored, "content_hash", "left")
-    same = W.partitionBy("content_hash", F.col("near").isNotNull()).orderBy("place", "id")
-    first = F.when(F.col("near").isNull(), F.first("id").over(same))
-    judged = judged.withColumn("first", F.coalesce("stored", first))
+    # The first row of each content stands for all of them; a content that a great part of the batch has is spread.
+    judged = materialise(judged, "judged")
+    heads = judged.groupBy("content_hash").agg(F.min_by("id", F.when(F.col("near").isNull(), F.struct("place", "id"))).alias("head"))
+    heads = heads.join(stored, "content_hash", "left").select("content_hash", F.coalesce("stored", "head").alias("head"))
+    judged = salted_join(judged, heads, "content_hash", "id").withColumn("first", F.when(F.col("near").isNull(), F.col("head")))
     outcome = (
         F.when(F.col("near").isNotNull(), "NEAR_DUPE")
         .when(F.col("first") != F.col("id"), "EXACT_DUPE")
@@ -131,6 +133,7 @@ def related_edges(memories: DataFrame, least: float = 0.6, most: int = 5, dim: i
     rows = memories.filter(usable("content_embedding", dim)).select(
         "id", F.col("content_embedding").alias("vector"), F.unix_micros("created_at").alias("place")
     )
+    rows = materialise(rows, "compared")
     found = best_matches(rows, rows, least, most, earlier=True)
     return found.select(
         F.col("id").alias("from_node"),

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from sagekeep.functions.text import identifier
 from sagekeep.operators import commit, extract
-from sagekeep.runtime import materialise
+from sagekeep.runtime import materialise, strip
 from sagekeep.schemas import conform
-from sagekeep.sources import chunking
+from sagekeep.sources import chunking, sessions
 from sagekeep.sources.store import Store
 
 
@@ -36,10 +36,14 @@ def _edges(rows: DataFrame, moment: Column) -> DataFrame:
 def ingest(spark: SparkSession, store: Store, documents: DataFrame, moment: Column, config: IngestConfig = IngestConfig()) -> DataFrame:
     """Add documents (path, text, modified) to a store, all of it or nothing; gives the counts of what was done.
 
+    Session files are cut to chunks of whole messages, other texts by characters.
+    A memory is valid from the earliest time stamp of its chunk, else of its
+    session, else from when its file was modified, else from ``moment``.
     Near and exact duplicates only reinforce what they repeat. Chunks with two new
     memories or more get a summary. Ids are made of contents and of the store's version, so a batch that is
     ingested again after a failure gives the same rows.
     """
+    since = store.version()
     old = {name: store.read(name) for name in ("memories", "entities", "edges", "memory_events", "chunks", "sources")}
     files = documents.withColumn("source_id", identifier("source_", "path", F.sha2("text", 256)))
     sources = conform(
@@ -50,25 +54,26 @@ def ingest(spark: SparkSession, store: Store, documents: DataFrame, moment: Colu
         "sources",
     )
     sources = sources.join(old["sources"].select("source_id"), "source_id", "left_anti")
-    cut = chunking.char_chunks(files, "source_id", "text", config.chunk_size, config.chunk_overlap, config.least_step)
-    cut = cut.withColumnRenamed("id", "source_id").withColumn("chunk_id", identifier("chunk_", "source_id", F.col("sequence_no").cast("string")))
+    cut = _chunks(files, config).withColumn("chunk_id", identifier("chunk_", "source_id", F.col("sequence_no").cast("string")))
+    cut = cut.join(files.select("source_id", "path", "modified"), "source_id")
+    cut = cut.withColumn("valid", F.coalesce("earliest", "of_session", "modified", moment))
     cut = materialise(cut.withColumn("created_at", moment), "chunks")
     found = extract.extract_memories(cut, "chunk_id", "text", config.extractor, config.least_memory_confidence)
-    found = found.withColumnRenamed("id", "chunk_id").join(cut.select("chunk_id", "source_id"), "chunk_id")
-    found = found.withColumn("id", identifier("mem_", "chunk_id", F.col("place").cast("string"), F.lit(store.version() or "")))
+    found = found.withColumnRenamed("id", "chunk_id").join(cut.select("chunk_id", "source_id", "sequence_no", "valid"), "chunk_id")
+    found = found.withColumn("id", identifier("mem_", "chunk_id", F.col("place").cast("string"), F.lit(since or "")))
     found = extract.embed_texts(found, "content", config.embedder, config.rules.dim)
     incoming = materialise(
         found.select(
-            "id", "chunk_id", "source_id", "content", "vector", F.lit("file").alias("source"),
-            F.dense_rank().over(_order()).cast("long").alias("place"),
+            "id", "chunk_id", "source_id", "content", "vector", F.lit("file").alias("source"), "valid",
+            (F.col("sequence_no").cast("long") * 2**32 + F.col("place")).alias("place"),
         ),
         "incoming",
     )
     decided = materialise(commit.decide(old["memories"], incoming, config.rules), "decided")
-    fresh = decided.filter("outcome = 'INSERTED_NEW'").join(incoming.select("id", "vector", "chunk_id", "source_id"), "id")
+    fresh = decided.filter("outcome = 'INSERTED_NEW'").join(incoming.select("id", "vector", "chunk_id", "source_id", "valid"), "id")
     memories = fresh.select(
         "id", "content", F.col("vector").alias("content_embedding"), "content_hash", moment.alias("created_at"),
-        F.to_json(F.struct(F.lit("file").alias("source"))).alias("metadata"), F.lit("MEMORY").alias("kind"), moment.alias("t_valid"),
+        F.to_json(F.struct(F.lit("file").alias("source"))).alias("metadata"), F.lit("MEMORY").alias("kind"), F.col("valid").alias("t_valid"),
         moment.alias("t_created"), F.lit("unknown").alias("temporal_stability"), F.lit(0).alias("reinforce_count"), "chunk_id", "source_id",
     )
     memories = materialise(memories, "new-memories")
@@ -98,23 +103,53 @@ def ingest(spark: SparkSession, store: Store, documents: DataFrame, moment: Colu
         added = rows if added is None else added.unionByName(rows)
     added = materialise(conform(commit.upsert_edges(old["edges"], added), "edges"), "new-edges")
     events = conform(commit.commit_events(decided, moment).withColumn("source", F.lit("file")), "memory_events")
+    extracted = mentions.filter(F.col("confidence") >= config.least_entity_confidence).groupBy(F.col("id").alias("memory_id"))
+    extracted = extracted.agg(F.count_distinct("norm_key").alias("entity_count")).select(
+        identifier("evt_", F.lit("entities"), "memory_id").alias("event_id"), "memory_id", F.lit("ENTITY_EXTRACTED").alias("event_type"),
+        moment.alias("occurred_at"), F.lit("system").alias("source"),
+        F.to_json(F.struct("entity_count", F.lit(config.least_entity_confidence).alias("min_confidence"))).alias("payload"),
+    )
+    told = memories.groupBy("chunk_id").agg(F.count(F.lit(1)).alias("memory_count")).join(cut.select("chunk_id", "path"), "chunk_id")
+    summarised = summaries.select("chunk_id").join(told, "chunk_id").select(
+        identifier("evt_", F.lit("summary"), "chunk_id").alias("event_id"), identifier("mem_", F.lit("summary"), "chunk_id").alias("memory_id"),
+        F.lit("SUMMARY_CREATED").alias("event_type"), moment.alias("occurred_at"), F.lit("summary_generation").alias("source"),
+        F.col("path").alias("artifact_ref"), F.to_json(F.struct("memory_count")).alias("payload"),
+    )
+    events = events.unionByName(conform(extracted, "memory_events")).unionByName(conform(summarised, "memory_events"))
     events = events.join(old["memory_events"].select("event_id"), "event_id", "left_anti")
     new_memories = conform(memories, "memories").unionByName(conform(summary_rows, "memories"))
     new_memories = new_memories.join(old["memories"].select("id"), "id", "left_anti")
     new_chunks = conform(cut, "chunks").join(old["chunks"].select("chunk_id"), "chunk_id", "left_anti")
-    store.publish(
-        memories=old["memories"].unionByName(conform(new_memories, "memories")),
-        entities=old["entities"].unionByName(conform(entities, "entities")),
-        edges=old["edges"].unionByName(added),
-        memory_events=old["memory_events"].unionByName(conform(events, "memory_events")),
-        chunks=old["chunks"].unionByName(conform(new_chunks, "chunks")),
-        sources=old["sources"].unionByName(conform(sources, "sources")),
+    store.append(
+        since,
+        memories=conform(new_memories, "memories"),
+        entities=conform(entities, "entities"),
+        edges=added,
+        memory_events=conform(events, "memory_events"),
+        chunks=conform(new_chunks, "chunks"),
+        sources=conform(sources, "sources"),
     )
     return decided.groupBy("outcome").agg(F.count(F.lit(1)).alias("rows"))
 
 
-def _order():
-    """The order of memories within their batch: by source, chunk and place."""
-    from pyspark.sql import Window as W
+def _chunks(files: DataFrame, config: IngestConfig) -> DataFrame:
+    """source_id, sequence_no, start_char, length_chars, text, earliest, of_session of the chunks of all files.
 
-    return W.partitionBy("source_id").orderBy("chunk_id", "place")
+    A session is a file of JSON lines that says a role before any line is broken;
+    only files that begin with an object are parsed to find that out. Chunks of
+    messages have no place in the file's characters, so their start is null.
+    """
+    maybe = files.filter(F.startswith(strip("text"), F.lit("{")))
+    lines = materialise(sessions.text_lines(maybe.select(F.col("source_id").alias("path"), "text")).withColumnRenamed("path", "session_id"), "lines")
+    spoken = materialise(sessions.detected_formats(lines).filter("format = 'session'").select(F.col("session_id").alias("source_id")), "session-files")
+    plain = files.join(spoken, "source_id", "left_anti")
+    columns = ["source_id", "sequence_no", "start_char", "length_chars", "text", "earliest", "of_session"]
+    by_chars = chunking.char_chunks(plain, "source_id", "text", config.chunk_size, config.chunk_overlap, config.least_step)
+    nothing = F.lit(None).cast("timestamp")
+    by_chars = by_chars.withColumnRenamed("id", "source_id").withColumn("earliest", nothing).withColumn("of_session", nothing).select(columns)
+    said = lines.join(spoken.withColumnRenamed("source_id", "session_id"), "session_id", "left_semi")
+    blocks = sessions.session_blocks(said)
+    by_blocks = chunking.block_chunks(blocks, "session_id", "line_id", "block", "stamp", config.chunk_size, config.chunk_overlap)
+    by_blocks = by_blocks.join(sessions.earliest_stamps(said).withColumnRenamed("earliest", "of_session"), "session_id", "left")
+    by_blocks = by_blocks.withColumn("start_char", F.lit(None).cast("long")).withColumn("length_chars", F.length("text").cast("long"))
+    return by_chars.unionByName(by_blocks.withColumnRenamed("session_id", "source_id").select(columns))

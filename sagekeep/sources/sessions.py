@@ -92,7 +92,7 @@ def session_blocks(lines: DataFrame, config: SessionConfig = SessionConfig(), by
     Lines sent again count once by their id, and with ``by_uuid`` also once by
     their uuid, as they may come again under a new id.
     """
-    once = lines.filter("raw_line IS NOT NULL AND line_id IS NOT NULL").dropDuplicates(["line_id"])
+    once = lines.filter("raw_line IS NOT NULL AND line_id IS NOT NULL").dropDuplicates(["session_id", "line_id"])
     parsed = parsed_lines(once).filter("document IS NOT NULL")
     parsed = lines_once(parsed) if by_uuid else parsed
     texts = message_texts(parsed, ["session_id", "line_id", "stamp"], config)

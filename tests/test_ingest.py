@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from sagekeep import cli
 from sagekeep.operators import extract
+from sagekeep.operators.graph import Graph
 from sagekeep.operators.ingest import IngestConfig, ingest
 from sagekeep.sources.store import Store
 
@@ -31,11 +32,32 @@ def test_a_batch_becomes_a_graph_and_again_changes_little(spark, store):
     assert {r.canonical_name for r in store.read("entities").collect()} == {"Alice Smith", "Berlin", "Postgres Cluster"}
     kinds = {r.edge_type: r["count"] for r in store.read("edges").groupBy("edge_type").count().collect()}
     assert kinds == {"PRODUCED": 2, "CONTAINS": 3, "MENTIONS": 3, "LINKED": 3, "SUMMARIZES": 2, "SUMMARIZED_BY": 1}
-    assert {r.event_type for r in store.read("memory_events").collect()} == {"ADD"}
+    events = store.read("memory_events")
+    assert {r.event_type: r["count"] for r in events.groupBy("event_type").count().collect()} == {"ADD": 2, "ENTITY_EXTRACTED": 2, "SUMMARY_CREATED": 1}
+    graph = Graph(spark, store.root, **{name: store.read(name) for name in ("memories", "memory_events")})
+    summary = memories.filter("kind = 'SUMMARY'").first().id
+    assert [tuple(r) for r in graph.artifact_summaries().collect()] == [("/d/0.txt", summary)]
     again = {r.outcome: r["rows"] for r in ingest(spark, store, documents(spark, TEXT), now, config).collect()}
     assert again == {"NEAR_DUPE": 2} and store.read("memories").count() == 3 and store.read("sources").count() == 2
 
 
+def test_session_files_are_cut_by_messages(spark, store):
+    lines = [
+        '{"type": "system", "timestamp": "2024-03-01T00:00:00Z"}',
+        '{"type": "user", "uuid": "u1", "timestamp": "2024-03-02T00:00:00Z", "message": {"role": "user", "content": "The harbour of Lisbon was closed for repairs."}}',
+        '{"type": "user", "uuid": "u1", "timestamp": "2024-03-02T00:00:00Z", "message": {"role": "user", "content": "The harbour of Lisbon was closed for repairs."}}',
+        "not json",
+        '{"type": "assistant", "timestamp": "2024-03-05T00:00:00Z", "message": {"content": [{"type": "text", "text": "Freight moved over Porto Central instead."}]}}',
+    ]
+    plain = '{"a": 1}\nnot json\n{"type": "user", "content": "too late to be a session, this is plain"}'
+    ingest(spark, store, documents(spark, "\n".join(lines), plain, TEXT, ""), F.lit(T0).cast("timestamp"), IngestConfig(chunk_size=80, chunk_overlap=0)).collect()
+    sources = {r.source_id: r.path for r in store.read("sources").collect()}
+    chunks = [(sources[r.source_id], r.sequence_no, r.start_char is None) for r in store.read("chunks").collect()]
+    assert sorted(c for c in chunks if c[0] == "/d/0.txt") == [("/d/0.txt", 1, True), ("/d/0.txt", 2, True)] and ("/d/1.txt", 1, False) in chunks
+    valid = {r.content: r.t_valid for r in store.read("memories").filter("kind = 'MEMORY'").collect()}
+    assert valid["user: The harbour of Lisbon was closed for repairs."] == datetime(2024, 3, 2) and T0 in valid.values()
+
+
 def test_models_can_be_replaced(spark, rows):
     class Fixed:
         def entities(self, text):
@@ -93,6 +115,7 @@ def test_commands(spark, store, tmp_path):
     one = listed[0].id
     assert [r.table_name for r in ask("show", one)] == ["memories"]
     assert [r.id for r in ask("deprecate", one, "unknown")] == [one] and len(ask("memories")) == 2 and len(ask("memories", "--include-expired")) == 3
+    assert store.read("memory_events").filter("event_type = 'DEPRECATE'").first().memory_id == one
     with pytest.raises(SystemExit):
         ask("purge-entities")
     ask("purge-entities", "--force")

@@ -150,3 +150,17 @@ def test_store_publishes_whole_versions(spark, tmp_path):
     with pytest.raises(Exception, match="stop"):
         store.publish(edges=broken)
     assert store.version() == version and store.read("edges").count() == 1
+
+
+def test_store_appends_without_touching_what_is_there(spark, tmp_path):
+    store, schema = Store(spark, str(tmp_path / "store")), "edge_id string, edge_type string"
+    store.append(edges=spark.createDataFrame([("e1", "RELATED")], schema), sources=spark.createDataFrame([], "source_id string"))
+    before = {f: f.stat().st_mtime_ns for f in (tmp_path / "store").rglob("*.parquet")}
+    version = store.version()
+    store.append(edges=spark.createDataFrame([("e2", "MENTIONS")], schema))
+    after = {f: f.stat().st_mtime_ns for f in (tmp_path / "store").rglob("*.parquet")}
+    assert before.items() <= after.items() and len(after) == len(before) + 1
+    assert {(r.edge_id, r.edge_type) for r in store.read("edges").collect()} == {("e1", "RELATED"), ("e2", "MENTIONS")} and store.read("sources").count() == 0
+    with pytest.raises(RuntimeError, match="in the meantime"):
+        Store(spark, store.root).append(since=version, edges=spark.createDataFrame([("e3", "MENTIONS")], schema))
+    assert store.read("edges").count() == 2
