@@ -42,10 +42,10 @@ def _packs(df: DataFrame, side: int, count: int, mine: int, theirs: int) -> Data
 
 def _matrix(part: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """ids, unit vectors and places of some packs, by id."""
-    ids = np.array([i for of_pack in part["ids"] for i in of_pack], dtype=object)
+    ids = np.array([i for of_pack in part["ids"] for i in of_pack], dtype=str)
     places = np.array([p for of_pack in part["places"] for p in of_pack], np.int64)
     raw = np.frombuffer(b"".join(part["vectors"]), "<f8").reshape(len(ids), -1)
-    at = np.argsort(ids.astype(str), kind="stable")
+    at = np.argsort(ids, kind="stable")
     raw = raw[at]
     return ids[at], raw / np.sqrt((raw * raw).sum(1))[:, None], places[at]
 
@@ -65,14 +65,19 @@ def _tile(part: pd.DataFrame, least: float, k: int, earlier: bool) -> pd.DataFra
     out = [pd.DataFrame({"id": pd.Series(dtype=object), "other": pd.Series(dtype=object), "similarity": pd.Series(dtype=float)})]
     if all(len(s) for s in sides):
         (ids, units, places), (their_ids, their_units, their_places) = (_matrix(s) for s in sides)
+        same = np.minimum(np.searchsorted(their_ids, ids), len(their_ids) - 1)
+        same = np.where(their_ids[same] == ids, same, -1)
         for at in range(0, len(ids), SLICE):
-            near = np.round(units[at : at + SLICE] @ their_units.T, 12)
-            fits = (near >= least) & (ids[at : at + SLICE, None] != their_ids[None, :])
+            near = units[at : at + SLICE] @ their_units.T
+            itself = np.flatnonzero(same[at : at + SLICE] >= 0)
+            near[itself, same[at : at + SLICE][itself]] = -np.inf
             if earlier:
-                fits &= their_places[None, :] < places[at : at + SLICE, None]
-            near[~fits] = -np.inf
+                near[their_places[None, :] >= places[at : at + SLICE, None]] = -np.inf
+            some = np.flatnonzero((near >= least - 1e-9).any(1))
+            near = np.round(near[some], 12)
+            near[near < least] = -np.inf
             rows, columns = np.nonzero(_best(near, k))
-            out.append(pd.DataFrame({"id": ids[at + rows], "other": their_ids[columns], "similarity": near[rows, columns]}))
+            out.append(pd.DataFrame({"id": ids[at + some[rows]], "other": their_ids[columns], "similarity": near[rows, columns]}))
     return pd.concat([o for o in out if len(o)] or out)
 
 
@@ -83,7 +88,8 @@ def best_matches(left: DataFrame, right: DataFrame, least: float, k: int, earlie
     of a smaller place count. They are read twice, so they should be tables.
     """
     counts = [df.count() for df in (left, right)]
-    sizes = [math.ceil(n / ROWS_OF_A_BLOCK) or 1 for n in counts]
+    busy = math.ceil(math.sqrt(3 * left.sparkSession.sparkContext.defaultParallelism))
+    sizes = [max(1, math.ceil(n / ROWS_OF_A_BLOCK), min(busy, math.ceil(n / 1_000))) for n in counts]
     both = _packs(left, 0, counts[0], sizes[0], sizes[1]).unionByName(_packs(right, 1, counts[1], sizes[1], sizes[0]))
     partial = (
         both.repartition(max(1, 4 * sizes[0] * sizes[1]), "i", "j")
