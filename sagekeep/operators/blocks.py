@@ -21,33 +21,36 @@ SLICE = 512
 
 
 def _packs(df: DataFrame, side: int, count: int, mine: int, theirs: int) -> DataFrame:
-    """Matrices of the rows of each block, sent once to each block of the other side: side, i, j, ids, vectors, places."""
+    """Matrices of the rows of each block, sent once to each block of the other side: side, i, j, ids, vectors, places, groups."""
     packs = max(1, math.ceil(count / mine / ROWS_OF_A_PACK))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         vectors = np.array(pdf["vector"].tolist(), "<f8").tobytes()
-        return pd.DataFrame({"b": [int(pdf["b"].iat[0])], "ids": [pdf["id"].tolist()], "vectors": [vectors], "places": [pdf["place"].tolist()]})
+        lists = {name: [pdf[column].tolist()] for name, column in (("ids", "id"), ("places", "place"), ("groups", "group"))}
+        return pd.DataFrame({"b": [int(pdf["b"].iat[0])], "vectors": [vectors], **lists})
 
-    rows = df.select("id", F.col("vector").cast("array<double>").alias("vector"), F.col("place").cast("long").alias("place"))
+    group = F.col("group") if "group" in df.columns else F.lit(0)
+    numbers = [column.cast("long").alias(name) for name, column in (("place", F.col("place")), ("group", group))]
+    rows = df.select("id", F.col("vector").cast("array<double>").alias("vector"), *numbers)
     packed = (
         rows.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(mine)).cast("int"))
         .withColumn("pack", F.pmod(F.hash("id"), F.lit(packs)))
         .groupBy("b", "pack")
-        .applyInPandas(run, "b int, ids array<string>, vectors binary, places array<long>")
+        .applyInPandas(run, "b int, vectors binary, ids array<string>, places array<long>, groups array<long>")
         .withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(theirs - 1))))
     )
     first, second = ("b", "o") if side == 0 else ("o", "b")
-    return packed.select(F.lit(side).alias("side"), F.col(first).alias("i"), F.col(second).alias("j"), "ids", "vectors", "places")
+    return packed.select(F.lit(side).alias("side"), F.col(first).alias("i"), F.col(second).alias("j"), "ids", "vectors", "places", "groups")
 
 
-def _matrix(part: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """ids, unit vectors and places of some packs, by id."""
+def _matrix(part: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """ids, unit vectors, places and groups of some packs, by id."""
     ids = np.array([i for of_pack in part["ids"] for i in of_pack], dtype=str)
-    places = np.array([p for of_pack in part["places"] for p in of_pack], np.int64)
+    places, groups = (np.array([x for of_pack in part[name] for x in of_pack], np.int64) for name in ("places", "groups"))
     raw = np.frombuffer(b"".join(part["vectors"]), "<f8").reshape(len(ids), -1)
     at = np.argsort(ids, kind="stable")
     raw = raw[at]
-    return ids[at], raw / np.sqrt((raw * raw).sum(1))[:, None], places[at]
+    return ids[at], raw / np.sqrt((raw * raw).sum(1))[:, None], places[at], groups[at]
 
 
 def _best(near: np.ndarray, k: int) -> np.ndarray:
@@ -64,7 +67,8 @@ def _tile(part: pd.DataFrame, least: float, k: int, earlier: bool) -> pd.DataFra
     sides = [part[part["side"] == s] for s in (0, 1)]
     out = [pd.DataFrame({"id": pd.Series(dtype=object), "other": pd.Series(dtype=object), "similarity": pd.Series(dtype=float)})]
     if all(len(s) for s in sides):
-        (ids, units, places), (their_ids, their_units, their_places) = (_matrix(s) for s in sides)
+        (ids, units, places, groups), (their_ids, their_units, their_places, their_groups) = (_matrix(s) for s in sides)
+        grouped = bool(np.any(groups) or np.any(their_groups))
         same = np.minimum(np.searchsorted(their_ids, ids), len(their_ids) - 1)
         same = np.where(their_ids[same] == ids, same, -1)
         for at in range(0, len(ids), SLICE):
@@ -73,6 +77,8 @@ def _tile(part: pd.DataFrame, least: float, k: int, earlier: bool) -> pd.DataFra
             near[itself, same[at : at + SLICE][itself]] = -np.inf
             if earlier:
                 near[their_places[None, :] >= places[at : at + SLICE, None]] = -np.inf
+            if grouped:
+                near[their_groups[None, :] != groups[at : at + SLICE, None]] = -np.inf
             some = np.flatnonzero((near >= least - 1e-9).any(1))
             near = np.round(near[some], 12)
             near[near < least] = -np.inf
@@ -85,7 +91,8 @@ def best_matches(left: DataFrame, right: DataFrame, least: float, k: int, earlie
     """id, other, similarity: for each row of ``left`` the k most similar of ``right``, ties by id.
 
     Both have id, vector (usable ones only) and place; with ``earlier`` only rows
-    of a smaller place count. They are read twice, so they should be tables.
+    of a smaller place count. With a number ``group`` in both, only rows of one
+    group are compared. They are read twice, so they should be tables.
     """
     counts = [df.count() for df in (left, right)]
     busy = math.ceil(math.sqrt(3 * left.sparkSession.sparkContext.defaultParallelism))

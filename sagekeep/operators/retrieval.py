@@ -7,8 +7,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sagekeep.functions.scores import DEFAULT, ScoreConfig, graph_boost, reinforcement, temporal_confidence
+from sagekeep.operators.blocks import best_matches
 from sagekeep.operators.graph import Graph
-from sagekeep.operators.vector import cosine_to
+from sagekeep.operators.vector import cosine_to, usable
 from sagekeep.runtime import materialise
 
 
@@ -51,19 +52,21 @@ def entity_scores(graph: Graph, matched: DataFrame, least: float = 0.0, among: D
 def match_entities(graph: Graph, asked: DataFrame, least: float, dim: int) -> DataFrame:
     """asked_id, entity_id, similarity: the entity of the same key (similarity 1), else the nearest of the type.
 
-    ``asked`` has asked_id, entity_type, norm_key and vector. The second way joins
-    on the type; only what the first way left open takes part in it.
+    ``asked`` has asked_id, entity_type, norm_key and vector. What the first way
+    left open is compared in blocks of all entities, in which the type is a
+    condition, so that no type is a group of its own.
     """
-    from sagekeep.operators.vector import cosine, usable
-
     keyed = graph.entities_by_key(asked.select("norm_key"))
     by_key = asked.join(keyed.filter("entity_id IS NOT NULL"), "norm_key").select("asked_id", "entity_id", F.lit(1.0).alias("similarity"))
-    rest = asked.join(by_key.select("asked_id"), "asked_id", "left_anti").filter(usable("vector", dim))
-    pool = graph.active_entities().filter(usable("embedding", dim)).select(F.col("id").alias("entity_id"), "entity_type", "embedding")
-    near = rest.join(pool, "entity_type").withColumn("similarity", cosine(F.col("vector"), F.col("embedding")))
-    best = F.row_number().over(W.partitionBy("asked_id").orderBy(F.desc("similarity"), "entity_id"))
-    near = near.filter(F.col("similarity") >= least).withColumn("place", best).filter("place = 1")
-    return by_key.unionByName(near.select("asked_id", "entity_id", "similarity"))
+    by_key = materialise(by_key, "by-key")
+    rest = asked.join(by_key.select("asked_id"), "asked_id", "left_anti").filter(usable("vector", dim) & F.col("entity_type").isNotNull())
+    pool = graph.active_entities().filter(usable("embedding", dim) & F.col("entity_type").isNotNull())
+    columns = [F.lit(0).alias("place"), F.xxhash64("entity_type").alias("group")]
+    # An id may stand on both sides, and is compared with itself as with any other.
+    rest = materialise(rest.select(F.concat(F.lit("?"), "asked_id").alias("id"), "vector", *columns), "asked")
+    pool = materialise(pool.select("id", F.col("embedding").alias("vector"), *columns), "pool")
+    near = best_matches(rest, pool, least, 1)
+    return by_key.unionByName(near.select(F.substring("id", 2, 2**31 - 1).alias("asked_id"), F.col("other").alias("entity_id"), "similarity"))
 
 
 def hybrid_search(

@@ -12,6 +12,7 @@ from sagekeep.functions.format import explained_block
 from sagekeep.functions.text import content_hash, norm_key, normalise_content, preview
 from sagekeep.operators import retrieval, vector
 from sagekeep.operators.graph import Graph, confident
+from sagekeep.operators.skew import numbered
 from sagekeep.operators.ontology import Ontology, checked_types
 from sagekeep.plans.sql import BOOST, CONFIDENCE, DEGREES, DIM, MOMENT, QUERY_VECTOR, STRENGTH, query, similarity
 from sagekeep.schemas import constraint_report
@@ -96,10 +97,7 @@ def sources_by_agent_session(g: Graph) -> DataFrame:
 
 @register(query("c", "SELECT source_id, chunk_id, sequence_no, row_number() OVER (PARTITION BY source_id ORDER BY sequence_no, chunk_id) AS place FROM c"))
 def chunks_in_order(g: Graph) -> DataFrame:
-    from pyspark.sql import Window as W
-
-    place = F.row_number().over(W.partitionBy("source_id").orderBy("sequence_no", "chunk_id"))
-    return g.chunks.select("source_id", "chunk_id", "sequence_no", place.cast("long").alias("place"))
+    return numbered(g.chunks.select("source_id", "chunk_id", "sequence_no"), "source_id", ["sequence_no", "chunk_id"])
 
 
 @register(query("v", """SELECT memory_id, event_id, place FROM (SELECT *, row_number() OVER (PARTITION BY memory_id ORDER BY occurred_at DESC, event_id) AS place

@@ -112,6 +112,16 @@ def substring_link(g: Graph) -> DataFrame:
     return extract.substring_links(members, names)
 
 
+@register(query("meg", """SELECT DISTINCT members.chunk_id, members.id, x.entity_id FROM (SELECT chunk_id, id, content FROM (SELECT DISTINCT from_node AS chunk_id, to_node AS id FROM g WHERE edge_type = 'CONTAINS' AND t_expired IS NULL)
+    JOIN m USING (id) WHERE t_expired IS NULL) members
+  JOIN (SELECT l.chunk_id, e.id AS entity_id, canonical_name FROM (SELECT DISTINCT from_node AS chunk_id, to_node AS id FROM g WHERE edge_type = 'LINKED' AND t_expired IS NULL) l JOIN e ON e.id = l.id WHERE expired_at IS NULL) x
+  ON x.chunk_id = members.chunk_id WHERE length(canonical_name) > 0 AND contains(lower(content), lower(canonical_name))"""))
+def substring_entity_links(g: Graph) -> DataFrame:
+    """Names of the entities that a chunk is linked to, sought in all memories of it."""
+    members = g.chunk_members().select("chunk_id", "id").join(g.memories.select("id", "content"), "id")
+    return extract.substring_links(members, g.chunk_entities().select("chunk_id", "entity_id", "canonical_name"))
+
+
 _SENTENCE = r"regexp_extract(content, '^(?s)(.*?[.!?])(\s|$)', 1)"
 
 
@@ -138,7 +148,7 @@ def summary_links(g: Graph) -> DataFrame:
 @register(None)
 def extracted_mentions(g: Graph) -> DataFrame:
     """Entities found by rule in memories that await extraction, and the mentions that link them."""
-    waiting = g.active_memories().select("id", "content")
+    waiting = g.awaiting_extraction().select("id", "content")
     found = materialise(extract.extract_entities(waiting, "id", "content", extract.RuleExtractor()), "extracted")
     return extract.mention_edges(found, extract.entities_to_store(found, g.entities)).select("from_node", "to_node", rounded("confidence", "confidence"))
 
@@ -151,7 +161,7 @@ def extracted_memories(g: Graph) -> DataFrame:
 @register(None)
 def hashed_embeddings(g: Graph) -> DataFrame:
     vectors = extract.embed_texts(g.memories.select("id", "content"), "content", extract.HashedEmbedder(64), 64)
-    return vectors.select("id", F.size("vector").alias("dim"))
+    return vectors.select("id", "vector")
 
 
 # Streams, run over the whole event log

@@ -105,3 +105,15 @@ def test_views_hold_each_record_once(spark):
     graph = build(spark, memories, edges=[mention("a", "e")] * 2)
     assert graph.memories.count() == 1 and graph.edges.first().weight == 1.0
     assert {r.counter: r.value for r in build(spark).health_report().collect()}["edges"] == 0
+
+
+def test_rows_of_a_hot_key_are_numbered_in_ranges(spark):
+    from sagekeep.operators.skew import numbered
+
+    table = [("hot", i, f"x{i % 7}") for i in range(400)] + [(None, 2, "b"), (None, 1, "a"), ("few", 5, "c")]
+    frame = spark.createDataFrame(table, "key string, at int, name string").repartition(5)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    found = {(r.key, r.at): r.place for r in numbered(frame, "key", ["at", "name"]).collect()}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert found == {("hot", i): i + 1 for i in range(400)} | {(None, 1): 1, (None, 2): 2, ("few", 5): 1}
+    assert numbered(frame.limit(0), "key", ["at"]).collect() == []
