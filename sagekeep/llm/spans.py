@@ -226,7 +226,7 @@ def _marked_windows(windows: DataFrame) -> DataFrame:
     covers = covers.select(F.struct("signature", "cover").alias("group"), "least_doc", "most_doc", "head", "open", "any_open")
     rows = of_hot.select("doc", "start", "n", "signature", F.struct("signature", "cover").alias("group"))
     rows = salted_join(rows, covers, "group", "doc").withColumn("sample", F.col("any_open") & (F.col("head") == F.struct("doc", "start")))
-    return materialise(marked.filter("NOT hot").select(columns).unionByName(rows.select(columns)), "span-windows")
+    return marked.filter("NOT hot").select(columns).unionByName(materialise(rows.select(columns), "hot-windows"))
 
 
 def _shared_stretches(stretches: DataFrame) -> DataFrame:
@@ -241,7 +241,8 @@ def _shared_stretches(stretches: DataFrame) -> DataFrame:
     )
     if not hot:
         return compared.select("doc", "start")
-    compared = materialise(compared.select("doc", "start", "stretch", "signature", "hot", "open", "least_of_all", "most_of_all"), "stretches")
+    later = [F.when(F.col("hot"), F.col(c)).alias(c) for c in ("stretch", "signature", "open", "least_of_all", "most_of_all")]
+    compared = materialise(compared.select("doc", "start", "hot", *later), "stretches")
     of_hot = compared.filter("hot")
     whole = of_hot.groupBy("stretch", "signature").agg(F.min("least_of_all").alias("least"), F.max("most_of_all").alias("most"))
     group = F.struct("stretch", "signature").alias("group")
