@@ -47,20 +47,20 @@ LEAST = 120
 GRAM = 48
 #: Characters that are worked on at once.
 SLAB = 400_000
-#: Share of the rows from which on a key is dealt to several tasks, and their number.
-SUPPORT, SALTS = 0.005, 64
+#: Share of the windows from which on a signature is dealt to several tasks, and their number.
+SUPPORT, SALTS = 0.001, 64
 
 
-def compact_windows(text: str, lengths: np.ndarray, least: int, gram: int) -> tuple[np.ndarray, ...]:
+def compact_windows(text: str, lengths: np.ndarray, least: int, gram: int, covers: bool = True) -> tuple[np.ndarray, ...]:
     """Compact windows of the pieces whose concatenation is ``text``.
 
-    Gives start, number of stretches, signature and a hash of all characters
-    that the stretches cover. Starts count in ``text``; no stretch leaves its piece.
+    Gives start, number of stretches, signature and (0 without ``covers``) a hash
+    of all characters that the stretches cover. Starts count in ``text``; no stretch leaves its piece.
     """
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
     width = least - gram + 1
     signature = sliding_least(gram_hashes(codes, gram), width)
-    whole = gram_hashes(codes, least)
+    whole = gram_hashes(codes, least) if covers else None
     left = np.repeat(np.cumsum(lengths), lengths) - np.arange(len(codes))
     inside = left[: len(signature)] >= least
     first = inside.copy()
@@ -72,6 +72,8 @@ def compact_windows(text: str, lengths: np.ndarray, least: int, gram: int) -> tu
         cuts = [np.arange(a, b + 1, width) for a, b in zip(starts, ends, strict=True)]
         lasts = [np.minimum(c + width - 1, b) for c, b in zip(cuts, ends, strict=True)]
         starts, ends = np.concatenate(cuts), np.concatenate(lasts)
+    if not covers:
+        return starts, ends - starts + 1, signature[starts].view(np.int64), np.zeros(len(starts), np.int64)
     cover = (whole[starts] * MIX_A + whole[ends]) * MIX_B + (ends - starts).astype(np.uint64)
     cover ^= cover >> SHIFT
     return starts, ends - starts + 1, signature[starts].view(np.int64), cover.view(np.int64)
@@ -92,8 +94,8 @@ def _pieces(texts: list[str | None], least: int) -> Iterator[list[tuple[int, int
         yield slab
 
 
-def window_table(df: DataFrame, least: int = LEAST, gram: int = GRAM) -> DataFrame:
-    """doc, start, n, signature, cover for each compact window of the texts in (doc, body)."""
+def window_table(df: DataFrame, least: int = LEAST, gram: int = GRAM, covers: bool = True) -> DataFrame:
+    """doc, start, n, signature, cover (0 without ``covers``) for each compact window of the texts in (doc, body)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -101,7 +103,7 @@ def window_table(df: DataFrame, least: int = LEAST, gram: int = GRAM) -> DataFra
             for slab in _pieces(texts, least):
                 lengths = np.array([len(piece) for _, _, piece in slab])
                 ends = np.cumsum(lengths)
-                starts, n, signature, cover = compact_windows("".join(p for _, _, p in slab), lengths, least, gram)
+                starts, n, signature, cover = compact_windows("".join(p for _, _, p in slab), lengths, least, gram, covers)
                 piece = np.searchsorted(ends, starts, side="right")
                 shift = np.array([at for _, at, _ in slab]) - (ends - lengths)
                 rows = np.array([row for row, _, _ in slab])
@@ -180,21 +182,20 @@ def join_touching(intervals: DataFrame) -> DataFrame:
     )
 
 
-def _dealt(df: DataFrame, key: str) -> tuple[DataFrame, list]:
-    """The rows with ``hot`` and ``part``: rows of a key that may have a great part of all are dealt by their record."""
-    hot = hot_values(df.select(key), key, SUPPORT)
-    is_hot = F.col(key).isin(hot) if hot else F.lit(False)
+def _dealt(df: DataFrame, hot: list) -> DataFrame:
+    """The rows with ``hot`` and ``part``: rows of signatures that may have a great part of all are dealt by their record."""
+    is_hot = F.col("signature").isin(hot) if hot else F.lit(False)
     part = F.when(is_hot, F.pmod(F.xxhash64("doc"), F.lit(SALTS))).otherwise(F.lit(0)).cast("int")
-    return df.withColumn("hot", is_hot).withColumn("part", part), hot
+    return df.withColumn("hot", is_hot).withColumn("part", part)
 
 
-def _marked_windows(windows: DataFrame) -> DataFrame:
+def _marked_windows(windows: DataFrame, hot: list) -> DataFrame:
     """The windows whose signature several records have, with the least and greatest record of their cover.
 
     ``open`` are those that only one record has as they are, ``sample`` one of each cover that such ones are to be
     compared with.
     """
-    dealt, hot = _dealt(windows, "signature")
+    dealt = _dealt(windows, hot)
     same_signature, same_cover = W.partitionBy("signature", "part"), W.partitionBy("signature", "part", "cover")
     marked = (
         dealt.repartition("signature", "part")
@@ -229,9 +230,9 @@ def _marked_windows(windows: DataFrame) -> DataFrame:
     return marked.filter("NOT hot").select(columns).unionByName(materialise(rows.select(columns), "hot-windows"))
 
 
-def _shared_stretches(stretches: DataFrame) -> DataFrame:
-    """doc, start of the open stretches that another record holds too."""
-    dealt, hot = _dealt(stretches, "stretch")
+def _shared_stretches(stretches: DataFrame, hot: list) -> DataFrame:
+    """doc, start of the open stretches that another record holds too; equal stretches have one signature."""
+    dealt = _dealt(stretches, hot)
     same = W.partitionBy("stretch", "signature", "part")
     compared = (
         dealt.repartition("stretch", "signature", "part")
@@ -262,7 +263,8 @@ def shared_spans(
     texts = df.select(F.col(id_col).alias("doc"), F.col(text_col).alias("body")).filter(
         F.col("doc").isNotNull() & (F.length("body") >= least)
     )
-    marked = _marked_windows(window_table(texts, least, gram))
+    hot = hot_values(window_table(texts, least, gram, covers=False).select("signature"), "signature", SUPPORT)
+    marked = _marked_windows(window_table(texts, least, gram), hot)
     end = F.col("start") + F.col("n") - 1 + least
     closed = marked.filter("NOT open").select("doc", F.col("start").alias("a"), end.alias("b"))
     to_compare = (
@@ -270,7 +272,7 @@ def shared_spans(
         .groupBy("doc")
         .agg(F.collect_list(F.struct("start", "n", "signature", "least_doc", "most_doc", "open")).alias("windows"))
     )
-    compared = _shared_stretches(_stretches(texts.join(to_compare, "doc"), least))
+    compared = _shared_stretches(_stretches(texts.join(to_compare, "doc"), least), hot)
     compared = compared.select("doc", F.col("start").alias("a"), (F.col("start") + least).alias("b"))
     return join_touching(closed.unionByName(compared)).withColumnRenamed("doc", id_col)
 
