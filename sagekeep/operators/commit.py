@@ -205,16 +205,20 @@ def resolve_merges(entities: DataFrame, most_steps: int = 20) -> DataFrame:
     """id, final: where each entity's chain of merges ends.
 
     Each step doubles the reach. Merges into ids that aren't there end at the
-    last one that is; entities of a ring stop somewhere in it.
+    last one that is; entities of a ring stop somewhere in it: as long as a chain
+    goes on, fewer entities move in each step, so when their number stays the same
+    only rings are left.
     """
     into = F.when(F.col("merged_into") != "", F.col("merged_into"))
     known = entities.select(F.col("id").alias("final"), F.lit(True).alias("there"))
     steps = entities.select("id", into.alias("final")).join(known, "final", "left")
     steps = materialise(steps.select("id", F.when(F.col("there"), F.col("final")).otherwise(F.col("id")).alias("final")), "merges")
+    moving = None
     for _ in range(most_steps):
         onward = steps.select(F.col("id").alias("final"), F.col("final").alias("further"))
         moved = materialise(steps.join(onward, "final").select("id", F.col("further").alias("final"), F.col("final").alias("was")), "merges")
         steps = moved.drop("was")
-        if moved.filter("final <> was").isEmpty():
+        before, moving = moving, moved.filter("final <> was").count()
+        if moving in (0, before):
             break
     return steps

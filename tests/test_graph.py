@@ -117,3 +117,18 @@ def test_rows_of_a_hot_key_are_numbered_in_ranges(spark):
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
     assert found == {("hot", i): i + 1 for i in range(400)} | {(None, 1): 1, (None, 2): 2, ("few", 5): 1}
     assert numbered(frame.limit(0), "key", ["at"]).collect() == []
+
+
+def test_recall_without_a_limit_gives_all_around_summaries(spark):
+    from sagekeep.operators.retrieval import recall
+
+    schema = "id string, kind string, content string, content_embedding array<float>, created_at timestamp, t_valid timestamp, t_expired timestamp, temporal_stability string, last_seen_at timestamp, reinforce_count int"
+    moment = F.lit("2025-01-01T00:00:00+00:00").cast("timestamp")
+    rows = [(f"s{i:03d}", "SUMMARY", "s", [1.0, i / 700], None, None, None, "static", None, 1) for i in range(700)]
+    rows += [("m", "MEMORY", "m", None, None, None, None, "static", None, 1), ("alone", "MEMORY", "m", [1.0, 0.0], None, None, None, "static", None, 1), rows[0]]
+    edges = spark.createDataFrame([("e1", "c", "s650"), ("e2", "c", "m")], "edge_id string, from_node string, to_node string")
+    edges = edges.selectExpr("*", "'CONTAINS' AS edge_type", "1.0D AS weight", "1.0D AS confidence", "CAST(NULL AS timestamp) AS t_created", "CAST(NULL AS timestamp) AS t_expired")
+    events = spark.createDataFrame([], "event_id string, memory_id string, event_type string, occurred_at timestamp")
+    graph = Graph(spark, "", memories=spark.createDataFrame(rows, schema), edges=edges, memory_events=events)
+    assert {r.id for r in recall(graph, [1.0, 0.0], moment, None).collect()} == {f"s{i:03d}" for i in range(700)} | {"m"}
+    assert [r.id for r in recall(graph, [1.0, 0.0], moment, 2).collect()] == ["s000", "s001"]
