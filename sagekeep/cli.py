@@ -8,7 +8,7 @@ import json
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sagekeep.functions.text import identifier, preview
+from sagekeep.functions.text import identifier, preview, tail
 from sagekeep.operators import commit, extract, retrieval
 from sagekeep.operators.graph import Graph
 from sagekeep.operators.ingest import IngestConfig, ingest
@@ -71,7 +71,9 @@ def run(args: argparse.Namespace, spark, embedder: extract.Embedder | None = Non
             found = part if found is None else found.unionByName(part)
         return found
     if args.command in ("recall", "search"):
-        query = embedder.embed([args.query])[0]
+        # A conversation is asked with its end; it may be given as a JSON array of messages.
+        asked = sessions.conversation_texts(spark.createDataFrame([(0, args.query)], "id int, text string"), "id").select(tail("text", 500)).first()
+        query = embedder.embed([asked[0] if asked else args.query])[0]
         if args.command == "recall":
             found = retrieval.recall(graph, query, now, args.limit)
         else:

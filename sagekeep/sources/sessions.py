@@ -128,6 +128,22 @@ def recall_queries(texts: DataFrame, length: int = 500) -> DataFrame:
     return texts.select("session_id", tail("text", length).alias("query"))
 
 
+def conversation_texts(inputs: DataFrame, key: str, text: str = "text", config: SessionConfig = SessionConfig()) -> DataFrame:
+    """key, text of what a recall is asked with: plain texts as they are, JSON arrays of messages as the blocks they hold.
+
+    A message is an object with role and content, as a session line has them. An
+    array without any message that says something gives no row; a null text none.
+    """
+    messages = F.try_variant_get(F.try_parse_json(text), "$", "array<variant>")
+    parsed = inputs.filter(F.col(text).isNotNull()).withColumn("messages", messages)
+    plain = parsed.filter("messages IS NULL").select(key, F.col(text).alias("text"))
+    each = parsed.filter("messages IS NOT NULL").select(F.col(key).alias("session_id"), F.posexplode("messages").alias("line_id", "document"))
+    role = F.coalesce(_field(F.col("document"), "$.message.role"), _field(F.col("document"), "$.role"), _field(F.col("document"), "$.type"))
+    said = message_texts(each.withColumn("role", F.lower(strip(role))), ["session_id", "line_id"], config)
+    blocks = said.select("session_id", "line_id", F.concat_ws(": ", "role", "text").alias("block"))
+    return plain.unionByName(session_texts(blocks).select(F.col("session_id").alias(key), "text"))
+
+
 def read_documents(spark, paths: list[str], recursive: bool = False, pattern: str | None = None) -> DataFrame:
     """path, text, modified of whole files, by Spark's binary source."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())

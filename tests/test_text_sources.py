@@ -164,3 +164,12 @@ def test_store_appends_without_touching_what_is_there(spark, tmp_path):
     with pytest.raises(RuntimeError, match="in the meantime"):
         Store(spark, store.root).append(since=version, edges=spark.createDataFrame([("e3", "MENTIONS")], schema))
     assert store.read("edges").count() == 2
+
+
+def test_recall_inputs(spark, rows):
+    inputs = [
+        (1, "plain question?"), (2, '[{"role": "user", "content": "hi"}, {"role": "system", "content": "no"}, {"role": "Assistant", "content": [{"type": "text", "text": " done "}, {"type": "tool_use"}]}]'),
+        (3, "[]"), (4, None), (5, '{"role": "user", "content": "an object is plain"}'), (6, "[1, 2]"),
+    ]
+    found = sessions.conversation_texts(spark.createDataFrame(inputs, "id int, text string"), "id")
+    assert rows(found) == [(1, "plain question?"), (2, "user: hi\n\nassistant: done"), (5, '{"role": "user", "content": "an object is plain"}')]
