@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sagekeep.functions.text import identifier, preview, tail
-from sagekeep.operators import commit, extract, retrieval
+from sagekeep.operators import backfill, commit, extract, retrieval
 from sagekeep.operators.graph import Graph
-from sagekeep.operators.ingest import IngestConfig, ingest
+from sagekeep.operators.ingest import FORMATS, STORED, IngestConfig, add_memories, ingest
 from sagekeep.runtime import build_session, materialise, ship_package
 from sagekeep.sources import sessions
 from sagekeep.sources.config import load_settings
@@ -36,12 +36,17 @@ def parser() -> argparse.ArgumentParser:
     add("show", (("id",), {}), help="show one record of any table")
     add("recall", (("query",), {}), help="memories around the summaries nearest to a text")
     add("search", (("query",), {}), help="memories nearest to a text, re-ranked")
-    add("ingest", (("paths",), {"nargs": "+"}), (("--recursive",), {"action": "store_true"}), (("--pattern",), {}), help="add files")
+    add("ingest", (("paths",), {"nargs": "+"}), (("--recursive",), {"action": "store_true"}), (("--pattern",), {}), (("--format",), {"choices": FORMATS, "default": "auto"}), help="add files")
+    add("add", (("content",), {}), (("--source",), {"default": "manual"}), (("--tags",), {}), (("--agent",), {"default": "cli"}), (("--session-id",), {}), help="add one memory")
+    add("sources", (("--type",), {}), (("--agent",), {}), (("--session-id",), {}), help="list sources, ingested last first")
+    add("extract-entities", (("--reprocess",), {"action": "store_true"}), help="link entities of memories without any")
     add("deprecate", (("ids",), {"nargs": "+"}), (("--reason",), {"default": "deprecated by hand"}), help="expire memories")
     add("purge-entities", (("--force",), {"action": "store_true"}), help="drop all entities and their edges")
-    add("embed", help="compute the vectors of all memories anew")
+    some = (("--only",), {"type": int, "help": "as many of the newest records"})
+    add("embed", some, help="compute the vectors of all memories anew")
+    add("embed-entities", some, help="compute the vectors of all active entities anew")
     add("report", help="counters of the graph's health")
-    add("orphans", help="memories without a chunk and without mentions")
+    add("orphans", (("--fix",), {"action": "store_true"}), help="memories without a chunk and without mentions")
     settings = commands.add_parser("settings", help="show settings with their includes")
     settings.add_argument("path")
     return top
@@ -51,7 +56,8 @@ def run(args: argparse.Namespace, spark, embedder: extract.Embedder | None = Non
     """The frame that a command shows."""
     store, now = Store(spark, args.root), F.current_timestamp()
     embedder = embedder or extract.HashedEmbedder()
-    frames = {name: store.read(name) for name in ("memories", "entities", "edges", "memory_events", "chunks", "sources")}
+    frames = {name: store.read(name) for name in STORED}
+    config = IngestConfig(embedder=embedder)
     graph = Graph(spark, args.root, **frames)
     if args.command == "memories":
         rows = graph.listed_memories(args.include_expired, args.limit)
@@ -59,9 +65,12 @@ def run(args: argparse.Namespace, spark, embedder: extract.Embedder | None = Non
     if args.command == "entities":
         return graph.mention_counts().select("id", "entity_type", "canonical_name", "mentions").orderBy(F.desc("mentions"), "id").limit(args.limit)
     if args.command == "edges":
-        rows = graph.edges if args.include_expired else graph.active_edges()
-        rows = rows.filter(F.col("edge_type") == args.type) if args.type else rows
-        return rows.select("edge_id", "from_node", "edge_type", "to_node", "weight", "confidence").orderBy("edge_id").limit(args.limit)
+        rows = graph.listed_edges(args.type, args.include_expired, args.limit)
+        return rows.select("edge_id", "from_node", "edge_type", "to_node", "weight", "confidence")
+    if args.command == "sources":
+        wanted = {"source_type": args.type, "agent": args.agent, "session_id": args.session_id}
+        rows = graph.listed_sources(args.limit, **{column: value for column, value in wanted.items() if value is not None})
+        return rows.select("source_id", "source_type", "path", "agent", "session_id", "ingested_at")
     if args.command == "show":
         keys = {"memories": "id", "entities": "id", "edges": "edge_id", "chunks": "chunk_id", "sources": "source_id"}
         found = None
@@ -81,7 +90,16 @@ def run(args: argparse.Namespace, spark, embedder: extract.Embedder | None = Non
         return found.select("id", F.round("score", 4).alias("score"), preview("content", 100).alias("content")).orderBy(F.desc("score"), "id")
     if args.command == "ingest":
         documents = sessions.read_documents(spark, args.paths, args.recursive, args.pattern)
-        return ingest(spark, store, documents, now, IngestConfig(embedder=embedder))
+        return ingest(spark, store, documents, now, IngestConfig(embedder=embedder, source_format=args.format))
+    if args.command == "add":
+        tags = [tag.strip() for tag in args.tags.split(",")] if args.tags else None
+        row = (args.content, args.source, tags, args.agent, args.session_id)
+        one = spark.createDataFrame([row], "content string, source string, tags array<string>, agent string, session_id string")
+        return add_memories(spark, store, one, now, config)
+    if args.command == "extract-entities":
+        return backfill.link_entities(store, now, config, backfill.ALL if args.reprocess else backfill.WAITING)
+    if args.command == "orphans" and args.fix:
+        return backfill.link_entities(store, now, config, backfill.ORPHANED)
     if args.command == "deprecate":
         ids = spark.createDataFrame([(i,) for i in args.ids], "id string")
         hit = graph.active_memories().join(ids, "id", "left_semi").select("id")
@@ -98,10 +116,8 @@ def run(args: argparse.Namespace, spark, embedder: extract.Embedder | None = Non
         entities, edges = commit.purge_entities(frames["entities"], frames["edges"])
         store.publish(entities=entities, edges=edges)
         return graph.entities.agg(F.count(F.lit(1)).alias("dropped"))
-    if args.command == "embed":
-        vectors = extract.embed_texts(frames["memories"].select("id", "content"), "content", embedder, 64).select("id", "vector")
-        store.publish(memories=commit.set_vectors(frames["memories"], vectors, "content_embedding"))
-        return vectors.agg(F.count(F.lit(1)).alias("embedded"))
+    if args.command in ("embed", "embed-entities"):
+        return backfill.embed_anew(store, "memories" if args.command == "embed" else "entities", config, args.only)
     return graph.health_report() if args.command == "report" else graph.orphaned_memories().select("id", preview("content", 100).alias("content")).limit(args.limit)
 
 

@@ -6,14 +6,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sagekeep.functions.scores import age_label
-from sagekeep.functions.text import preview
+from sagekeep.functions.text import shortened
 
-NOTHING, RULE = "No memories found.", "\n\n---\n\n"
+#: What an empty result says, and what stands between the blocks of a recall and of a search.
+NOTHING, RULE, GAP = "No memories found.", "\n\n---\n\n", "\n\n"
+#: The lines of a search block, and its times.
+SEARCH_BLOCK, SEARCH_TIME = "ID: %s\nScore: %.4f\nCreated: %s\nContent: %s", "yyyy-MM-dd HH:mm:ss 'UTC'"
 
 
-def search_block(moment: Column) -> Column:
-    """Score, id, age and the first 100 characters of a found memory."""
-    return F.concat_ws("\n", F.format_string("[%.4f] %s (%s)", "score", "id", age_label("created_at", moment)), preview("content", 100))
+def search_block() -> Column:
+    """Id, score, time (of a session that reads times as UTC) and the first 100 characters of a found memory."""
+    created = F.coalesce(F.date_format("created_at", SEARCH_TIME), F.lit("unknown"))
+    return F.format_string(SEARCH_BLOCK, "id", "score", created, F.coalesce(shortened("content", 100), F.lit("")))
 
 
 def recall_block(moment: Column) -> Column:
@@ -33,7 +37,7 @@ def explained_block(moment: Column) -> Column:
     return F.concat_ws("\n", recall_block(moment), F.concat(F.lit("because: "), F.concat_ws("; ", *parts)))
 
 
-def as_text(found: DataFrame, block: Column) -> str:
+def as_text(found: DataFrame, block: Column, rule: str = RULE) -> str:
     """The blocks of a limited result, best first."""
     rows = found.select(block.alias("block"), "score", "id").orderBy(F.desc("score"), "id").collect()
-    return RULE.join(r.block for r in rows) or NOTHING
+    return rule.join(r.block for r in rows) or NOTHING

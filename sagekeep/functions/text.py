@@ -39,6 +39,12 @@ def preview(column: Column | str, length: int) -> Column:
     return F.when(F.length(column) > length, F.concat(F.substring(column, 1, length - 3), F.lit("..."))).otherwise(column)
 
 
+def shortened(column: Column | str, length: int) -> Column:
+    """The text itself, or its first ``length`` characters with three dots after them where it is longer."""
+    column = F.col(column) if isinstance(column, str) else column
+    return F.when(F.length(column) > length, F.concat(F.substring(column, 1, length), F.lit("..."))).otherwise(column)
+
+
 def evidence(column: Column | str) -> Column:
     """Evidence of an edge, cut to its limit."""
     return preview(column, EVIDENCE_LIMIT)

@@ -91,8 +91,8 @@ def decide(memories: DataFrame, incoming: DataFrame, rules: Hygiene = Hygiene())
     return decided.unionByName(refused.withColumn("matched", F.lit(None).cast("string")).select(columns))
 
 
-def commit_events(decided: DataFrame, moment: Column) -> DataFrame:
-    """The events that a decided batch logs: event_id, memory_id, event_type, occurred_at, payload."""
+def commit_events(decided: DataFrame, moment: Column, *more: str) -> DataFrame:
+    """The events that a decided batch logs: event_id, memory_id, event_type, occurred_at, payload, and ``more`` columns of it."""
     kind = F.lit(None).cast("string")
     for outcome, event in OUTCOME_EVENTS.items():
         kind = F.when(F.col("outcome") == outcome, event).otherwise(kind)
@@ -103,9 +103,15 @@ def commit_events(decided: DataFrame, moment: Column) -> DataFrame:
         kind.alias("event_type"),
         moment.alias("occurred_at"),
         payload.alias("payload"),
+        *more,
     )
 
 
+def known_only(events: DataFrame, memories: DataFrame) -> DataFrame:
+    """The events whose memory exists; an event of no memory isn't logged."""
+    return events.join(memories.select(F.col("id").alias("memory_id")).distinct(), "memory_id", "left_semi").select(events.columns)
+
+
 def upsert_edges(existing: DataFrame, incoming: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """The edges of ``incoming`` that are added: one for each (from, to, type) without an active edge, the first kept.
 

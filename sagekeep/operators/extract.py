@@ -19,7 +19,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sagekeep.functions.text import evidence, identifier, norm_key, preview
+from sagekeep.functions.text import evidence, identifier, norm_key, preview, shortened
 from sagekeep.operators.skew import salted_join
 
 
@@ -72,15 +72,34 @@ class RuleExtractor:
         return [(p.strip(), 1.0, "sentence") for p in parts if len(p.strip()) >= self.least_length]
 
 
-def embed_texts(df: DataFrame, text_col: str, embedder: Embedder, dim: int, lower: bool = False, most_chars: int | None = None) -> DataFrame:
-    """``df`` with ``vector``; null texts get none. A model that gives another length fails the job."""
+def embed_texts(df: DataFrame, text_col: str, embedder: Embedder, dim: int, lower: bool = False, most_chars: int | None = None, keep_going: bool = False) -> DataFrame:
+    """``df`` with ``vector``; null texts get none.
+
+    A model that fails, or gives another length, fails the job; with ``keep_going``
+    the texts of such a batch are tried one by one, and those that fail get none.
+    """
+
+    def checked(texts: list[str]) -> list[list[float]]:
+        vectors = embedder.embed(texts)
+        if len(vectors) != len(texts) or any(len(v) != dim for v in vectors):
+            raise ValueError(f"the model gave a vector that isn't of length {dim}")
+        return vectors
+
+    def alone(text: str) -> list[float] | None:
+        try:
+            return checked([text])[0]
+        except Exception:  # whatever a model raises
+            return None
 
     @F.pandas_udf(T.ArrayType(T.FloatType()))
     def run(texts: pd.Series) -> pd.Series:
-        known = texts[texts.notna()]
-        vectors = embedder.embed(known.tolist())
-        if any(len(v) != dim for v in vectors):
-            raise ValueError(f"the model gave a vector that isn't of length {dim}")
+        known = texts[texts.notna()].tolist()
+        try:
+            vectors = checked(known)
+        except Exception:
+            if not keep_going:
+                raise
+            vectors = [alone(text) for text in known]
         given = iter(vectors)
         return pd.Series([next(given) if there else None for there in texts.notna()], dtype=object)
 
@@ -191,6 +210,11 @@ def summary_texts(members: DataFrame, most_bullets: int = 10, least: int = 2) ->
     )
 
 
+def summary_items(members: DataFrame, most_chars: int = 500) -> DataFrame:
+    """chunk_id, id, item: each memory of a chunk as a model that writes its summary is shown it."""
+    return members.select("chunk_id", "id", F.concat(F.lit("["), "id", F.lit("] "), shortened("content", most_chars)).alias("item"))
+
+
 def summary_edges(summaries: DataFrame, members: DataFrame) -> DataFrame:
     """from_node, to_node, edge_type: a summary to all memories of its chunk, and its chunk to it both ways of saying it.
 

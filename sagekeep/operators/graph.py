@@ -162,9 +162,10 @@ class Graph:
         rank = F.row_number().over(W.partitionBy("memory_id").orderBy(F.desc("occurred_at"), "event_id"))
         return rows.withColumn("place", rank).filter(F.col("place") <= limit)
 
-    def awaiting_extraction(self, reprocess: bool = False) -> DataFrame:
-        """Active memories without any MENTIONS edge, expired ones included; oldest first."""
+    def awaiting_extraction(self, reprocess: bool = False, kind: str | None = None) -> DataFrame:
+        """Active memories (of one kind, if it is given) without any MENTIONS edge, expired edges included; oldest first."""
         rows = self.active_memories()
+        rows = rows if kind is None else rows.filter(F.col("kind") == kind)
         if not reprocess:
             linked = self.edge_view("edge_type = 'MENTIONS'").select(F.col("from_node").alias("id"))
             rows = rows.join(linked, "id", "left_anti")
@@ -312,28 +313,47 @@ class Graph:
     # Getters of the edges and neighbours of given nodes
 
     def edges_from(self, nodes: DataFrame, kind: str | None = None, include_expired: bool = False, least: float | None = None) -> DataFrame:
-        """The edges that go out of ``nodes`` (id), oldest first."""
-        return self._edges_at("from_node", nodes, kind, include_expired, least)
+        """The edges that go out of ``nodes`` (id), newest first."""
+        return self._edges_at("from_node", nodes, kind, include_expired, least).orderBy(F.desc_nulls_last("t_created"), "edge_id")
 
     def edges_to(self, nodes: DataFrame, kind: str | None = None, include_expired: bool = False, least: float | None = None) -> DataFrame:
-        """The edges that come into ``nodes`` (id), oldest first; of no kind, or of AFFECTS, events are among them."""
+        """The edges that come into ``nodes`` (id), newest first; of no kind, or of AFFECTS, events are among them."""
         found = self._edges_at("to_node", nodes, None if kind == "AFFECTS" else kind, include_expired, least)
-        if kind not in (None, "AFFECTS"):
-            return found
-        events = self.view("memory_events", "memory_id IS NOT NULL", nodes.select(F.col("id").alias("memory_id")).distinct()).select(
+        if kind in (None, "AFFECTS"):
+            events = self._event_edges(nodes.select(F.col("id").alias("memory_id")).distinct())
+            found = events if kind else found.unionByName(events)
+        return found.orderBy(F.desc_nulls_last("t_created"), "edge_id")
+
+    def listed_edges(self, kind: str | None = None, include_expired: bool = False, limit: int | None = 100) -> DataFrame:
+        """Edges of a kind, or of all kinds with the events among them, newest first."""
+        found = self._event_edges() if kind == "AFFECTS" else self._edges_where(kind, include_expired, None)
+        found = (found if kind else found.unionByName(self._event_edges())).orderBy(F.desc_nulls_last("t_created"), "edge_id")
+        return found if limit is None else found.limit(limit)
+
+    def _event_edges(self, among: DataFrame | None = None) -> DataFrame:
+        """Events as edges to their memories; they never expire and are as sure as can be."""
+        return self.view("memory_events", "memory_id IS NOT NULL", among).select(
             F.col("event_id").alias("edge_id"), F.col("event_id").alias("from_node"), F.col("memory_id").alias("to_node"),
             F.lit("AFFECTS").alias("edge_type"), F.lit(1.0).alias("weight"), F.lit(None).cast("double").alias("confidence"),
             F.col("occurred_at").alias("t_created"),
         )
-        return (events if kind else found.unionByName(events)).orderBy("t_created", "edge_id")
 
     def _edges_at(self, end: str, nodes: DataFrame, kind: str | None, include_expired: bool, least: float | None) -> DataFrame:
+        return self._edges_where(kind, include_expired, least, nodes.select(F.col("id").alias(end)).distinct())
+
+    def _edges_where(self, kind: str | None, include_expired: bool, least: float | None, among: DataFrame | None = None) -> DataFrame:
         where = F.lit(True) if include_expired else F.col("t_expired").isNull()
         where = where if kind is None else where & (F.col("edge_type") == kind)
         where = where if least is None else where & confident(least)
-        found = self.edge_view(where, nodes.select(F.col("id").alias(end)).distinct())
-        columns = ["edge_id", "from_node", "to_node", "edge_type", "weight", "confidence", "t_created"]
-        return found.select(columns).orderBy("t_created", "edge_id")
+        return self.edge_view(where, among).select("edge_id", "from_node", "to_node", "edge_type", "weight", "confidence", "t_created")
+
+    def listed_sources(self, limit: int | None = None, **wanted: str) -> DataFrame:
+        """The sources whose source_type, agent or session_id are as ``wanted``, ingested last first."""
+        where = F.lit(True)
+        for column, value in wanted.items():
+            where &= F.col(column) == value
+        rows = self.view("sources", where).orderBy(F.desc_nulls_last("ingested_at"), "source_id")
+        return rows if limit is None else rows.limit(limit)
 
     def chunk_summaries(self) -> DataFrame:
         """chunk_id, id: the latest active summary that a chunk holds."""

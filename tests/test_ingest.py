@@ -4,9 +4,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from sagekeep import cli
-from sagekeep.operators import extract
+from sagekeep.operators import backfill, extract
+from sagekeep.operators.commit import Hygiene
 from sagekeep.operators.graph import Graph
-from sagekeep.operators.ingest import IngestConfig, ingest
+from sagekeep.operators.ingest import IngestConfig, add_memories, ingest
 from sagekeep.sources.store import Store
 
 T0 = datetime(2025, 1, 1)
@@ -122,3 +123,64 @@ def test_commands(spark, store, tmp_path):
     assert ask("entities") == [] and ask("edges", "--type", "MENTIONS") == []
     assert ask("embed")[0].embedded == 3
     assert {r.counter: r.value for r in ask("report")}["entities"] == 0 and ask("orphans") == []
+
+
+def counters(frame):
+    return {r.counter: r.value for r in frame.collect()}
+
+
+def test_entities_are_linked_afterwards(spark, store):
+    now = F.lit(T0).cast("timestamp")
+    table = [("m1", "They met Alice Smith there.", "MEMORY"), ("m2", "nothing here", "MEMORY"), ("m3", "They met Berlin Group there.", "SUMMARY"), ("m4", None, "MEMORY")]
+    store.append(memories=spark.createDataFrame([(*r, T0) for r in table], "id string, content string, kind string, created_at timestamp"))
+    assert counters(backfill.link_entities(store, now)) == {"memories_processed": 3, "entities_created": 1, "edges_created": 1}
+    assert counters(backfill.link_entities(store, now)) == {"memories_processed": 2, "entities_created": 0, "edges_created": 0}
+    assert counters(backfill.link_entities(store, now, which=backfill.ORPHANED)) == {"memories_processed": 2, "entities_created": 0, "edges_created": 0}
+    extra = spark.createDataFrame([("x1", "m1", "gone", "MENTIONS"), ("x2", "m2", "gone", "MENTIONS"), ("x3", "m1", "m2", "RELATED")], "edge_id string, from_node string, to_node string, edge_type string")
+    store.append(edges=extra)
+    assert counters(backfill.link_entities(store, now, which=backfill.ALL)) == {"memories_processed": 3, "entities_created": 0, "edges_created": 1}
+    entity = store.read("entities").first()
+    left = {(r.from_node, r.to_node, r.edge_type) for r in store.read("edges").collect()}
+    assert left == {("m1", entity.id, "MENTIONS"), ("m2", "gone", "MENTIONS"), ("m1", "m2", "RELATED")} and entity.norm_key == "CONCEPT:alice smith"
+    with pytest.raises(ValueError, match="orphaned"):
+        backfill.memories_to_extract(Graph(spark, store.root), "some")
+
+
+def test_vectors_are_made_anew_where_the_model_can(spark, store):
+    class Picky:
+        def embed(self, texts):
+            if any("bad" in t for t in texts):
+                raise RuntimeError("no")
+            return [[float(len(t)), float(t.islower())] for t in texts]
+
+    entities = [("e1", "Good", None, [0.0, 0.0]), ("e2", "bad", None, [9.0, 9.0]), ("e3", "Gone", T0, [8.0, 8.0]), ("e4", None, None, None)]
+    store.append(entities=spark.createDataFrame(entities, "id string, canonical_name string, expired_at timestamp, embedding array<float>"))
+    config = IngestConfig(embedder=Picky(), rules=Hygiene(dim=2))
+    assert tuple(backfill.embed_anew(store, "entities", config).first()) == (1, 1)
+    assert {r.id: r.embedding for r in store.read("entities").collect()} == {"e1": [4.0, 1.0], "e2": [9.0, 9.0], "e3": [8.0, 8.0], "e4": None}
+
+
+def test_single_memories_and_the_hook(spark, store):
+    seen, now = [], F.lit(T0).cast("timestamp")
+    config = IngestConfig(on_commit=lambda decided: seen.append({r.outcome for r in decided.collect()}))
+    rows = [("They met Alice Smith in the harbour.", "manual", ["a", "b"], "bot", "s1"), ("ok", None, None, None, None), (None, None, None, None, None)]
+    frame = spark.createDataFrame(rows, "content string, source string, tags array<string>, agent string, session_id string")
+    assert {r.outcome: r["rows"] for r in add_memories(spark, store, frame, now, config).collect()} == {"INSERTED_NEW": 1, "REJECTED_HYGIENE": 1}
+    assert seen == [{"INSERTED_NEW", "REJECTED_HYGIENE"}]
+    memory = store.read("memories").first()
+    assert memory.metadata == '{"source":"manual","tags":["a","b"]}' and memory.t_valid == T0
+    assert {r.edge_type for r in store.read("edges").collect()} == {"PRODUCED", "MENTIONS"}
+    assert {(r.agent, r.session_id, r.source_type) for r in store.read("sources").collect()} == {("bot", "s1", "agentic"), ("cli", None, "agentic")}
+    again = add_memories(spark, store, frame.select("content").limit(1), now, config)
+    assert {r.outcome: r["rows"] for r in again.collect()} == {"EXACT_DUPE": 1} and store.read("memories").count() == 1
+    assert {r.event_type: r.source for r in store.read("memory_events").collect()} == {"ADD": "manual", "ENTITY_EXTRACTED": "system", "REINFORCE_EXACT": "manual"}
+
+
+def test_formats(spark, store):
+    line = '{"type": "user", "content": "The whole harbour was closed."}'
+    now = F.lit(T0).cast("timestamp")
+    with pytest.raises(ValueError, match="unknown format"):
+        ingest(spark, store, documents(spark, line), now, IngestConfig(source_format="odd"))
+    ingest(spark, store, documents(spark, line), now, IngestConfig(source_format="plain"))
+    ingest(spark, store, documents(spark, line), now, IngestConfig(source_format="session"))
+    assert {r.content for r in store.read("memories").collect()} == {line, "user: The whole harbour was closed."}

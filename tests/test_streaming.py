@@ -93,4 +93,4 @@ def test_text_blocks(spark):
     now = F.lit(T0 + timedelta(days=3)).cast("timestamp")
     assert blocks.as_text(found, blocks.recall_block(now)).startswith("(score=0.5000, age=3d, stability=dynamic)\nxxx")
     assert blocks.as_text(found, blocks.explained_block(now)).endswith("because: similarity 0.4000; reinforced 3 times x1.500; dynamic, aged x0.900")
-    assert blocks.as_text(found, blocks.search_block(now)).endswith("x...") and blocks.as_text(found.filter("false"), blocks.recall_block(now)) == "No memories found."
+    assert blocks.as_text(found, blocks.search_block(), blocks.GAP).endswith("x...") and blocks.as_text(found.filter("false"), blocks.recall_block(now)) == "No memories found."
