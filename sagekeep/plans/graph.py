@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sagekeep.functions import scores
-from sagekeep.functions.format import explained_block
+from sagekeep.functions.format import explained_block, recall_block, search_block
 from sagekeep.functions.text import content_hash, norm_key, normalise_content, preview
 from sagekeep.operators import retrieval, vector
 from sagekeep.operators.graph import Graph, confident
@@ -204,6 +204,33 @@ def chunk_summaries(g: Graph) -> DataFrame:
     return g.chunk_summaries()
 
 
+_EVENT_EDGES = "SELECT event_id, event_id, memory_id, 'AFFECTS', 1.0, epoch_us(occurred_at) FROM v WHERE memory_id IS NOT NULL"
+
+
+@register(query("eg", """SELECT edge_id, from_node, to_node, edge_type, epoch_us(t_created) AS created FROM g WHERE to_node IN (SELECT id FROM e WHERE entity_type = 'ORG' AND expired_at IS NULL)
+  AND t_expired IS NULL AND edge_type = 'MENTIONS' AND (confidence IS NULL OR confidence >= 0.75)"""))
+def mentions_of_entities(g: Graph) -> DataFrame:
+    found = g.edges_to(g.active_entities("ORG").select("id"), "MENTIONS", least=0.75)
+    return found.select("edge_id", "from_node", "to_node", "edge_type", micros("t_created").alias("created"))
+
+
+@register(query("gv", f"""SELECT * FROM (SELECT edge_id, from_node, to_node, edge_type, weight, epoch_us(t_created) AS created FROM g WHERE t_expired IS NULL
+  UNION ALL {_EVENT_EDGES}) ORDER BY created DESC NULLS LAST, edge_id LIMIT 100"""))
+def edges_listed(g: Graph) -> DataFrame:
+    return g.listed_edges().select("edge_id", "from_node", "to_node", "edge_type", "weight", micros("t_created").alias("created"))
+
+
+@register(query("g", """SELECT edge_id, from_node, to_node, epoch_us(t_created) AS created FROM g WHERE edge_type = 'LINKED' ORDER BY created DESC NULLS LAST, edge_id LIMIT 50"""))
+def edges_listed_of_kind(g: Graph) -> DataFrame:
+    found = g.listed_edges("LINKED", include_expired=True, limit=50)
+    return found.select("edge_id", "from_node", "to_node", micros("t_created").alias("created"))
+
+
+@register(query("s", "SELECT source_id, agent, session_id FROM s WHERE source_type = 'agentic' ORDER BY ingested_at DESC NULLS LAST, source_id LIMIT 50"))
+def sources_listed(g: Graph) -> DataFrame:
+    return g.listed_sources(50, source_type="agentic").select("source_id", "agent", "session_id")
+
+
 @register(query("e", "SELECT id, entity_type, canonical_name FROM e WHERE id = (SELECT min(id) FROM entities)"))
 def entity_by_id(g: Graph) -> DataFrame:
     least = g.table("entities").agg(F.min("id")).first()[0]
@@ -476,6 +503,39 @@ def entity_type_check(g: Graph) -> DataFrame:
     return found.select("id", "resolved_type", "is_known")
 
 
+@register(query("m", """SELECT id, 'ID: ' || id || chr(10) || 'Score: ' || printf('%.4f', similarity) || chr(10) || 'Created: ' || coalesce(strftime(make_timestamp(epoch_us(created_at)), '%Y-%m-%d %H:%M:%S') || ' UTC', 'unknown')
+    || chr(10) || 'Content: ' || coalesce(CASE WHEN length(content) > 100 THEN substr(content, 1, 100) || '...' ELSE content END, '') AS block
+  FROM near WHERE t_expired IS NULL AND similarity IS NOT NULL ORDER BY near.similarity DESC, id LIMIT 10""", QUERY_VECTOR, _NEAR))
+def search_blocks(g: Graph) -> DataFrame:
+    """The nearest memories as they are shown."""
+    found = vector.top_k(g.memories, "id", "content_embedding", _query(g), 10, F.col("t_expired").isNull())
+    return found.withColumn("score", F.col("similarity")).select("id", search_block().alias("block"))
+
+
+_AGE = f"(epoch_us(TIMESTAMPTZ '{MOMENT}+00') - epoch_us(near.created_at)) / 1000000.0"
+
+
+@register(query(
+    "mgv",
+    f"""SELECT id, '(score=' || printf('%.4f', sim * multiplier) || ', age=' || CASE WHEN age IS NULL THEN 'unknown' WHEN age < 60 THEN 'just now' WHEN age < 3600 THEN floor(age / 60)::BIGINT || 'm'
+    WHEN age < 86400 THEN floor(age / 3600)::BIGINT || 'h' WHEN age < 604800 THEN floor(age / 86400)::BIGINT || 'd' WHEN age < 2592000 THEN floor(age / 604800)::BIGINT || 'w'
+    ELSE floor(age / 2592000)::BIGINT || 'mo' END || ', stability=' || stability || ')' || coalesce(chr(10) || content, '') AS block
+  FROM rows_ JOIN scored USING (id) ORDER BY sim * multiplier DESC, id LIMIT 5""",
+    QUERY_VECTOR,
+    _NEAR,
+    STRENGTH,
+    DEGREES,
+    _SCORED,
+    _LINKS,
+    "top AS (SELECT id FROM near WHERE kind = 'SUMMARY' AND t_expired IS NULL AND similarity IS NOT NULL ORDER BY near.similarity DESC, id LIMIT 25)",
+    "wanted AS (SELECT id FROM links WHERE chunk_id IN (SELECT chunk_id FROM links WHERE id IN (SELECT id FROM top)) UNION SELECT id FROM top)",
+    f"rows_ AS (SELECT id, content, temporal_stability AS stability, {_AGE} AS age, coalesce(similarity, 0.0) AS sim FROM near WHERE t_expired IS NULL AND id IN (SELECT id FROM wanted))",
+))
+def recall_blocks(g: Graph) -> DataFrame:
+    """What is recalled as it is shown."""
+    return retrieval.recall(g, _query(g), moment()).select("id", recall_block(moment()).alias("block"))
+
+
 @register(None)
 def recall_explained(g: Graph) -> DataFrame:
     """The recall of the query vector with the reasons of each score, as text."""

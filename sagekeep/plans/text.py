@@ -145,6 +145,13 @@ def summary_links(g: Graph) -> DataFrame:
     return extract.summary_edges(extract.summary_texts(members), members)
 
 
+@register(query("mg", """SELECT chunk_id, id, '[' || id || '] ' || CASE WHEN length(content) > 500 THEN substr(content, 1, 500) || '...' ELSE content END AS item FROM (
+  SELECT DISTINCT from_node AS chunk_id, to_node AS id FROM g WHERE edge_type = 'CONTAINS' AND t_expired IS NULL) JOIN m USING (id) WHERE t_expired IS NULL"""))
+def summary_items(g: Graph) -> DataFrame:
+    members = g.chunk_members().select("chunk_id", "id").join(g.memories.select("id", "content"), "id")
+    return extract.summary_items(members)
+
+
 @register(None)
 def extracted_mentions(g: Graph) -> DataFrame:
     """Entities found by rule in memories that await extraction, and the mentions that link them."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sagekeep.operators import commit, retrieval, vector
+from sagekeep.operators import backfill, commit, retrieval, vector
 from sagekeep.operators.graph import Graph
 from sagekeep.plans.graph import moment, register, rounded
 from sagekeep.plans.sql import DIM, MOMENT, query, similarity
@@ -161,3 +161,72 @@ def purge_entities(g: Graph) -> DataFrame:
     _, edges = commit.purge_entities(g.entities, g.edges)
     mentions = F.count_if(F.col("edge_type") == "MENTIONS")
     return edges.agg(F.count(F.lit(1)).alias("left_edges"), mentions.alias("left_mentions"))
+
+
+# Updates over whole tables
+
+
+@register(query("m", """SELECT m.id, len(v) AS length, v[1]::DOUBLE + 0.0 AS head FROM (SELECT m.id, coalesce(n.vector, m.content_embedding) AS v FROM m LEFT JOIN n USING (id)) m""",
+    """n AS (SELECT memory_id AS id, arg_max(content_embedding, (batch_no, seq_no, commit_id)) AS vector FROM commit_outcomes
+  WHERE outcome = 'INSERTED_NEW' AND content_embedding IS NOT NULL AND memory_id IS NOT NULL GROUP BY memory_id)"""))
+def vectors_replaced(g: Graph) -> DataFrame:
+    """Memories with the vector of the last commit that inserted them, where there is one; -0.0 is shown as 0.0, as the SQL's lists lose the sign."""
+    made = g.table("commit_outcomes").filter("outcome = 'INSERTED_NEW' AND content_embedding IS NOT NULL AND memory_id IS NOT NULL")
+    last = F.max_by("content_embedding", F.struct("batch_no", "seq_no", "commit_id"))
+    vectors = made.groupBy(F.col("memory_id").alias("id")).agg(last.alias("vector"))
+    found = commit.set_vectors(g.memories.select("id", "content_embedding"), vectors, "content_embedding")
+    return found.select("id", F.size("content_embedding").cast("long").alias("length"), (F.get("content_embedding", F.lit(0)).cast("double") + 0.0).alias("head"))
+
+
+@register(query("e", f"""SELECT id, epoch_us(CASE WHEN id IN (SELECT id FROM hit) THEN TIMESTAMPTZ '{MOMENT}+00' ELSE expired_at END) AS expired, merged_into FROM e""",
+    "hit AS (SELECT id FROM e WHERE merged_into <> '' AND expired_at IS NULL)"))
+def merged_entities_expired(g: Graph) -> DataFrame:
+    """Entities that were merged without being expired are."""
+    merges = g.entities.filter("merged_into <> '' AND expired_at IS NULL").select("id", "merged_into")
+    return commit.expire_entities(g.entities, merges, moment()).select("id", F.unix_micros("expired_at").alias("expired"), "merged_into")
+
+
+@register(query("eg", f"""SELECT edge_id, epoch_us(CASE WHEN t_expired IS NULL AND edge_type = 'MENTIONS' AND to_node IN (SELECT id FROM e WHERE expired_at IS NOT NULL)
+  THEN TIMESTAMPTZ '{MOMENT}+00' ELSE t_expired END) AS expired FROM g"""))
+def mentions_of_expired_expired(g: Graph) -> DataFrame:
+    """Mentions of expired entities are expired with them."""
+    gone = g.view("entities", "expired_at IS NOT NULL").select(F.col("id").alias("to_node"))
+    ids = g.view("edges", "edge_type = 'MENTIONS'", gone).select("edge_id")
+    return commit.expire_edges(g.edges, ids, moment()).select("edge_id", F.unix_micros("t_expired").alias("expired"))
+
+
+@register(query("g", "SELECT edge_id, edge_type FROM g WHERE edge_type IS NULL OR edge_type <> 'RELATED'"))
+def edges_without_kind(g: Graph) -> DataFrame:
+    return commit.delete_edges(g.edges, kind="RELATED").select("edge_id", "edge_type")
+
+
+@register(query("g", """SELECT edge_id, edge_type FROM g WHERE from_node IS NULL OR from_node <> (
+  SELECT from_node FROM g WHERE from_node IS NOT NULL GROUP BY from_node ORDER BY count(*) DESC, from_node LIMIT 1)"""))
+def edges_without_busiest_node(g: Graph) -> DataFrame:
+    """The edges that are left without those of the node that has most."""
+    counts = g.edges.filter("from_node IS NOT NULL").groupBy("from_node").agg(F.count(F.lit(1)).alias("n"))
+    busiest = counts.orderBy(F.desc("n"), "from_node").first()
+    return commit.delete_edges(g.edges, from_node=busiest[0] if busiest else "").select("edge_id", "edge_type")
+
+
+@register(query("mv", "SELECT event_id, memory_id FROM v WHERE memory_id IN (SELECT id FROM m)"))
+def events_of_known_memories(g: Graph) -> DataFrame:
+    return commit.known_only(g.events, g.memories).select("event_id", "memory_id")
+
+
+@register(query("mg", """SELECT id FROM m WHERE t_expired IS NULL AND kind = 'MEMORY' AND NOT EXISTS (SELECT 1 FROM g WHERE edge_type = 'MENTIONS' AND from_node = m.id)"""))
+def extraction_queue_of_memories(g: Graph) -> DataFrame:
+    """What awaits extraction, without summaries."""
+    return backfill.memories_to_extract(g).select("id")
+
+
+@register(query("mg", """SELECT id FROM m WHERE t_expired IS NULL AND kind = 'MEMORY' AND NOT EXISTS (SELECT 1 FROM g WHERE g.t_expired IS NULL
+  AND ((edge_type = 'CONTAINS' AND to_node = m.id) OR (edge_type = 'MENTIONS' AND from_node = m.id)))"""))
+def extraction_queue_of_orphans(g: Graph) -> DataFrame:
+    return backfill.memories_to_extract(g, backfill.ORPHANED).select("id")
+
+
+@register(query("mg", """SELECT edge_id FROM g WHERE edge_type IS DISTINCT FROM 'MENTIONS' OR from_node IS NULL OR from_node NOT IN (SELECT id FROM m WHERE t_expired IS NULL AND kind = 'MEMORY')"""))
+def edges_before_reprocessing(g: Graph) -> DataFrame:
+    """The edges that stay where all active memories get their mentions anew."""
+    return backfill.without_mentions(g.edges, backfill.memories_to_extract(g, backfill.ALL)).select("edge_id")
