@@ -46,6 +46,8 @@ SKIPPED, BROKEN, USER, ASSISTANT = 0, 1, 2, 3
 ROLES = {"user": USER, "assistant": ASSISTANT}
 #: What the state keeps of a line: line_id, moment, code, and a digest of what identifies it.
 LINE = "<qqb16s"
+#: What goes before it on the way to the state: the millisecond of its arrival. In a column of its own it would be converted for each session.
+ARRIVAL = "<q"
 PARSED = "session_id string, line binary, received_at timestamp"
 EPOCH = datetime(1970, 1, 1, tzinfo=UTC)
 
@@ -104,8 +106,9 @@ def parsed(lines: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sessions, ids, raws = (batch.column(i).to_pylist() for i in range(3))
+            arrivals = batch.column(3).cast(pa.int64()).to_pylist()  # microseconds since 1970
             keep, packed = [], []
-            for row, (session, line_id, raw) in enumerate(zip(sessions, ids, raws, strict=True)):
+            for row, (session, line_id, raw, arrival) in enumerate(zip(sessions, ids, raws, arrivals, strict=True)):
                 line = b""
                 if session is not None:
                     if raw is None or line_id is None or not raw.strip():
@@ -113,7 +116,7 @@ def parsed(lines: DataFrame) -> DataFrame:
                     code, moment, uuid = parse_line(raw)
                     name = f"line {line_id}" if uuid is None or uuid == "" else f"uuid {json.dumps(uuid, sort_keys=True)}"
                     digest = hashlib.blake2b(name.encode("utf-8", "surrogatepass"), digest_size=16).digest()
-                    line = struct.pack(LINE, line_id, moment, code, digest)
+                    line = struct.pack(ARRIVAL, (arrival or 0) // 1000) + struct.pack(LINE, line_id, moment, code, digest)
                 keep.append(row)
                 packed.append(line)
             at = pa.array(keep, pa.int64())
@@ -171,8 +174,9 @@ def keep_session(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState)
     for pdf in batches:
         if key[0] is None or closed:
             continue
-        parts.extend(pdf["line"])
-        latest = max(latest, int(pdf["at"].max()))
+        lines, start = pdf["line"].tolist(), struct.calcsize(ARRIVAL)
+        parts.extend(line[start:] for line in lines)
+        latest = max([latest, *(struct.unpack_from(ARRIVAL, line)[0] for line in lines)])
     if key[0] is None or closed:
         return
     state.update((b"".join(parts), latest, False))
@@ -184,7 +188,6 @@ def conversation_stream(lines: DataFrame, watermark: timedelta = WATERMARK) -> D
     return (
         parsed(lines)
         .withWatermark("received_at", f"{int(watermark.total_seconds())} seconds")
-        .withColumn("at", F.coalesce(F.unix_millis("received_at"), F.lit(0)))
         .groupBy("session_id")
         .applyInPandasWithState(
             keep_session,
