@@ -7,6 +7,7 @@ them twice with one text must do no harm (a task may be repeated).
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import re
 from collections.abc import Iterator
@@ -33,6 +34,11 @@ class Extractor(Protocol):
     def memories(self, text: str) -> list[tuple[str, float, str]]: ...
 
 
+@functools.lru_cache(maxsize=1 << 16)  # the same few thousand n-grams make most of all texts
+def _place(gram: str) -> int:
+    return int.from_bytes(hashlib.blake2b(gram.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+
+
 @dataclass(frozen=True)
 class HashedEmbedder:
     """Character n-grams hashed to a unit vector: like texts get like vectors."""
@@ -47,8 +53,7 @@ class HashedEmbedder:
         vector = [0.0] * self.dim
         padded = f" {text.lower()} "
         for at in range(max(1, len(padded) - self.size + 1)):
-            digest = hashlib.blake2b(padded[at : at + self.size].encode(), digest_size=8).digest()
-            place = int.from_bytes(digest, "little")
+            place = _place(padded[at : at + self.size])
             vector[place % self.dim] += 1.0 if place >> 63 else -1.0
         norm = sum(x * x for x in vector) ** 0.5
         return [x / norm for x in vector] if norm else vector
