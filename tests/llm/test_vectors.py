@@ -1,3 +1,7 @@
+import pathlib
+import subprocess
+import sys
+
 import numpy as np
 import pytest
 
@@ -77,3 +81,52 @@ def test_match_best_and_first(spark):
         assert first.get(name) == (f"id{fits[0]:04d}" if fits else None)
         assert best.get(name) == (f"id{min(fits, key=lambda b: (-near[a, b], b)):04d}" if fits else None)
     table.unpersist()
+
+
+@pytest.mark.parametrize("dense", [0.0, 1e9])
+def test_matrices_meet_once_or_twice_with_the_same_result(spark, dense, monkeypatch):
+    monkeypatch.setattr(vectors, "BLOCK_ROWS", 40)
+    monkeypatch.setattr(vectors, "DENSE", dense)
+    rows = cases(seed=6)
+    got = similar_neighbours(frame(spark, rows), "id", "v", 3, 0.3, dim=8).collect()
+    assert {(r.id, r.other) for r in got} == brute_force(rows, 3, 0.3)
+    assert len(got) == len({(r.id, r.other) for r in got})
+
+
+def test_of_an_id_with_several_vectors_the_smallest_counts(spark):
+    rows = [("a", [1.0, 0.0, 0.0, 0.0]), ("a", [0.0, 1.0, 0.0, 0.0]), ("b", [1.0, 0.1, 0.0, 0.0]), ("c", [0.1, 1.0, 0.0, 0.0])]
+    got = similar_neighbours(frame(spark, rows), "id", "v", 2, 0.9, dim=4).collect()
+    assert {(r.id, r.other) for r in got} == {("a", "c"), ("c", "a")}  # of the bytes, 0.0 comes before 1.0
+
+
+def written_by_exchanges(tmp_path, frame_of):
+    """Bytes that all exchanges of a query wrote, and bytes of the folder that tasks share."""
+    root = tmp_path / "run"
+    root.mkdir()
+    code = f"""
+import sys, pathlib
+sys.path[:0] = {[str(pathlib.Path(vectors.__file__).parents[2]), str(pathlib.Path(__file__).parents[2])]!r}
+import numpy as np
+from pyspark.sql import functions as F
+from sagekeep.runtime import build_session
+spark = build_session("t", 2, **{{"spark.checkpoint.dir": "file://{root}/shared", "spark.local.dir": "{root}/local", "spark.cleaner.referenceTracking": "false", "spark.shuffle.compress": "true", "spark.driver.memory": "2g"}})
+rng = np.random.default_rng(3)
+matrix = rng.normal(size=(30_000, 64)).astype("f4")
+spark.createDataFrame([(f"id{{i:06d}}", row.tolist(), i) for i, row in enumerate(matrix)], "id string, v array<float>, n long").write.parquet("{root}/in")
+t = spark.read.parquet("{root}/in")
+size = lambda p: sum(f.stat().st_size for f in pathlib.Path(p).rglob("*") if f.is_file()) if pathlib.Path(p).exists() else 0
+before = size("{root}/local")
+{frame_of}
+print("BYTES", size("{root}/local") - before, size("{root}/shared"), size("{root}/in"))
+spark.stop()
+"""
+    said = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=600)
+    assert "BYTES" in said.stdout, said.stderr[-2000:]
+    return [int(x) for x in said.stdout.split("BYTES")[1].split()[:3]]
+
+
+def test_each_vector_is_written_to_the_disk_at_most_three_times(spark, tmp_path):
+    exchanged, shared, given = written_by_exchanges(
+        tmp_path, "from sagekeep.llm.vectors import similar_neighbours\nprint(similar_neighbours(t, 'id', 'v', 5, 0.9).count())"
+    )
+    assert exchanged + shared < 3 * given
