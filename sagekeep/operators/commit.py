@@ -136,10 +136,9 @@ def dedupe_entities(entities: DataFrame, existing: DataFrame | None = None) -> D
 
 def related_edges(memories: DataFrame, least: float = 0.6, most: int = 5, dim: int = 64) -> DataFrame:
     """from_node, to_node, weight, confidence, evidence: each memory to its most similar earlier ones."""
-    rows = memories.filter(usable("content_embedding", dim)).select(
+    rows = memories.filter(usable("content_embedding", dim) & F.col("created_at").isNotNull()).select(
         "id", F.col("content_embedding").alias("vector"), F.unix_micros("created_at").alias("place")
     )
-    rows = materialise(rows, "compared")
     found = best_matches(rows, rows, least, most, earlier=True)
     return found.select(
         F.col("id").alias("from_node"),

@@ -1,3 +1,6 @@
+import pathlib
+import subprocess
+import sys
 from datetime import datetime, timedelta
 
 import pytest
@@ -127,3 +130,34 @@ def test_constraints(spark):
     tables["memories"] = memories(spark, [("a", "x", None), ("a", "x", None), (None, "y", None)])
     report = {(r.table_name, r.key_name): r.broken for r in constraint_report(tables).collect()}
     assert report[("memories", "id")] == 1 and sum(report.values()) == 1
+
+
+def test_related_edges_write_each_vector_to_the_disk_at_most_four_times(tmp_path):
+    code = f"""
+import sys, pathlib
+sys.path[:0] = [{str(pathlib.Path(__file__).parents[1])!r}]
+import numpy as np
+from sagekeep.runtime import build_session
+from sagekeep.operators.commit import related_edges
+spark = build_session("t", 2, **{{"spark.checkpoint.dir": "file://{tmp_path}/shared", "spark.local.dir": "{tmp_path}/local", "spark.cleaner.referenceTracking": "false", "spark.driver.memory": "2g"}})
+matrix = np.random.default_rng(3).normal(size=(20_000, 64)).astype("f4")
+rows = [(f"id{{i:06d}}", row.tolist(), i) for i, row in enumerate(matrix)]
+spark.createDataFrame(rows, "id string, content_embedding array<float>, n long").selectExpr("id", "content_embedding", "timestamp_micros(n) AS created_at").write.parquet("{tmp_path}/in")
+print(related_edges(spark.read.parquet("{tmp_path}/in")).count())
+size = lambda p: sum(f.stat().st_size for f in pathlib.Path(p).rglob("*") if f.is_file()) if pathlib.Path(p).exists() else 0
+print("BYTES", size("{tmp_path}/local") + size("{tmp_path}/shared"), size("{tmp_path}/in"))
+spark.stop()
+"""
+    said = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=600)
+    assert "BYTES" in said.stdout, said.stderr[-2000:]
+    written, given = (int(x) for x in said.stdout.split("BYTES")[1].split()[:2])
+    assert written < 4 * given
+
+
+def test_related_edges_of_equal_vectors_and_of_memories_without_a_time(spark):
+    rows = [(f"m{i:04d}", [1.0, 2.0, 3.0, 4.0], None if i == 7 else i // 3) for i in range(1500)] + [("z", [4.0, 3.0, 2.0, -9.0], 9000)]
+    memories = spark.createDataFrame(rows, "id string, content_embedding array<float>, at long").selectExpr("id", "content_embedding", "timestamp_micros(at) AS created_at")
+    found = {(r.from_node, r.to_node, r.weight) for r in commit.related_edges(memories, dim=4).collect()}
+    timed = [(i, at) for i, _, at in rows[:-1] if at is not None]
+    wanted = {(i, other, 1.0) for i, at in timed for other in [o for o, b in timed if b < at][:5]}
+    assert found == wanted
