@@ -5,11 +5,12 @@ equal passages give equal chunks wherever they stand. A persistent table leads
 from chunks to records. A new record is looked up by its rarest chunks; the bytes
 that it shares with each record found that way are summed over all chunks, and
 the decision is made by coverage: the part of the new record, and of the old one,
-that is shared. A coverage of 1 of both, confirmed by a digest of the text, means
-the same content. What is accepted is appended.
+that is shared. Chunks also have the places at which they stand, so it is told how
+many bytes stand at the same places: a coverage of 1 of both, all of it in place,
+means the same content. Nothing else decides that. What is accepted is appended.
 
-The history is written once, by its appends. Chunks and digests are partitioned
-by hash, and a batch reads the partitions that its own hashes fall into, once;
+The history is written once, by its appends. Chunks are partitioned by hash, and
+a batch reads the partitions that its own hashes fall into, once;
 vectors lie packed in matrices, which a batch's product with them reads as they
 are. Texts of the history are never read again, and nothing of it is rewritten.
 
@@ -54,8 +55,7 @@ SIMILAR = 0.92
 PARTS = 32
 
 
-CHUNK_SCHEMA = "record string, chunk long, size long, copies long, total long"
-RECORD_SCHEMA = "record string, digest string, total long"
+CHUNK_SCHEMA = "record string, chunk long, size long, copies long, places long, total long"
 PACK_SCHEMA = "block int, ids array<string>, vectors binary, orders array<long>"
 
 
@@ -65,25 +65,35 @@ def one_blank(column: Column) -> Column:
 
 
 def chunks_of(data: bytes, ends: np.ndarray) -> dict[int, list[int]]:
-    """Hash of each chunk to its length and number; ``ends`` are the places where chunks end."""
+    """Hash of each chunk to its length, number, and a sum that tells its places; ``ends`` are the places where chunks end."""
     found: dict[int, list[int]] = {}
     start = 0
     for end in [*ends.tolist(), len(data)]:
         if end > start or not data:
             piece = data[start:end]
             key = int.from_bytes(hashlib.blake2b(piece, digest_size=8).digest(), "little", signed=True)
-            found.setdefault(key, [max(1, len(piece)), 0])[1] += 1
+            entry = found.setdefault(key, [max(1, len(piece)), 0, 0])
+            entry[1] += 1
+            entry[2] = (entry[2] + mixed(start)) % 2**63
             start = end
     return found
 
 
+def mixed(place: int) -> int:
+    """64 bits of a number, as SplitMix64 mixes them."""
+    x = (place + 1) * 0x9E3779B97F4A7C15 % 2**64
+    x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 % 2**64
+    x = (x ^ x >> 27) * 0x94D049BB133111EB % 2**64
+    return x ^ x >> 31
+
+
 def chunk_table(df: DataFrame) -> DataFrame:
-    """record, chunk, size, copies, total for each distinct chunk of the texts in (record, body, total)."""
+    """record, chunk, size, copies, places, total for each distinct chunk of the texts in (record, body, total)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [t.encode() for t in batch.column(1).to_pylist()]
-            rows, keys, sizes, copies = [], [], [], []
+            rows, keys, sizes, copies, places = [], [], [], [], []
             for at in range(0, len(texts), 500):
                 part = texts[at : at + 500]
                 codes = np.frombuffer(b"".join(part), np.uint8)
@@ -93,20 +103,21 @@ def chunk_table(df: DataFrame) -> DataFrame:
                 for row, data in enumerate(part, at):
                     inside = cuts[np.searchsorted(cuts, begin + SEEN) : np.searchsorted(cuts, begin + len(data))] - begin
                     begin += len(data)
-                    for key, (size, n) in chunks_of(data, inside).items():
+                    for key, (size, n, at_places) in chunks_of(data, inside).items():
                         rows.append(row)
                         keys.append(key)
                         sizes.append(size)
                         copies.append(n)
+                        places.append(at_places)
             columns = [batch.column(0).take(pa.array(rows, pa.int64())), pa.array(keys, pa.int64())]
-            columns += [pa.array(sizes, pa.int64()), pa.array(copies, pa.int64()), batch.column(2).take(pa.array(rows, pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["record", "chunk", "size", "copies", "total"])
+            columns += [pa.array(values, pa.int64()) for values in (sizes, copies, places)] + [batch.column(2).take(pa.array(rows, pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["record", "chunk", "size", "copies", "places", "total"])
 
     return df.mapInArrow(run, CHUNK_SCHEMA)
 
 
 class ChunkHistory:
-    """The persistent tables of accepted records: their chunks, digests and vectors."""
+    """The persistent tables of accepted records: their chunks and vectors."""
 
     def __init__(self, spark: SparkSession, path: str | None = None, parts: int = PARTS) -> None:
         self.spark, self.path, self.parts = spark, path or shared_dir(spark, "chunk-history"), parts
@@ -133,7 +144,6 @@ class ChunkHistory:
         texts = digested.groupBy("digest").agg(F.min("id").alias("record"), F.first("body").alias("body"))
         texts = materialise(texts, "accepted-texts")
         size = F.greatest(F.octet_length("body"), F.lit(1)).cast("long")
-        self._write(texts.select("record", "digest", size.alias("total")), "records", "record")
         self._write(chunk_table(texts.select("record", "body", size.alias("total"))), "chunks", "chunk")
         vectors = records.filter("vector IS NOT NULL").groupBy("vector").agg(F.min("id").alias("id"))
         vectors = materialise(vectors.withColumn("order", F.lit(0).cast("long")), "accepted-vectors")
@@ -146,7 +156,7 @@ class ChunkHistory:
         return self.spark.read.schema(f"{PACK_SCHEMA}, pack string").parquet(f"{self.path}/vectors")
 
     def covered(self, new: DataFrame, least: float = 1.0, least_back: float = 0.0) -> DataFrame:
-        """record, accepted, coverage, back_coverage, equal for new (id, body) of distinct bodies.
+        """record, accepted, coverage, back_coverage, equal (all covered, in place) for new (id, body) of distinct bodies.
 
         All accepted records that share at least ``least`` of the bytes of the
         new one, and ``least_back`` of their own. A record is looked up by its
@@ -163,7 +173,7 @@ class ChunkHistory:
         key = ["chunk", "total"] if same_size else ["chunk"]
         chunks = self._touched("chunks", CHUNK_SCHEMA, own, "chunk")
         hits = chunks.join(own.select(key).distinct(), key, "left_semi")
-        hits = materialise(hits.withColumnsRenamed({"record": "accepted", "copies": "their_copies", "total": "their_total"}).drop("size"), "hits")
+        hits = materialise(hits.withColumnsRenamed({"record": "accepted", "copies": "their_copies", "places": "their_places", "total": "their_total"}).drop("size"), "hits")
         if same_size:
             hits = hits.withColumn("total", F.col("their_total"))
         spread = hits.groupBy(key).agg(F.count(F.lit(1)).alias("spread"))
@@ -177,23 +187,21 @@ class ChunkHistory:
         else:
             pairs = probes.select("record", "chunk", "total").join(hits.select("accepted", "chunk", "their_total"), "chunk").filter(fits)
         pairs = pairs.select("record", "accepted").distinct()
+        in_place = (F.col("copies") == F.col("their_copies")) & (F.col("places") == F.col("their_places"))
         shared = (
-            pairs.join(own.select("record", "chunk", "size", "copies", F.col("total").alias("my_total")), "record")
-            .join(hits.select("accepted", "chunk", "their_copies", "their_total"), ["accepted", "chunk"])
+            pairs.join(own.select("record", "chunk", "size", "copies", "places", F.col("total").alias("my_total")), "record")
+            .join(hits.select("accepted", "chunk", "their_copies", "their_places", "their_total"), ["accepted", "chunk"])
             .groupBy("record", "accepted", "my_total", "their_total")
-            .agg(F.sum(F.col("size") * F.least("copies", "their_copies")).alias("shared"))
+            .agg(
+                F.sum(F.col("size") * F.least("copies", "their_copies")).alias("shared"),
+                F.sum(F.when(in_place, F.col("size") * F.col("copies")).otherwise(F.lit(0))).alias("in_place"),
+            )
             .withColumn("coverage", F.col("shared") / F.col("my_total"))
             .withColumn("back_coverage", F.col("shared") / F.col("their_total"))
             .filter((F.col("coverage") >= least) & (F.col("back_coverage") >= least_back))
         )
-        shared = materialise(shared, "covered")
-        digests = self._touched("records", RECORD_SCHEMA, shared, "accepted").select(F.col("record").alias("accepted"), "digest")
-        mine = bodies.select("record", F.sha2("body", 256).alias("my_digest"))
-        return (
-            shared.join(digests, "accepted")
-            .join(mine, "record")
-            .select("record", "accepted", "coverage", "back_coverage", (F.col("digest") == F.col("my_digest")).alias("equal"))
-        )
+        equal = (F.col("in_place") == F.col("my_total")) & (F.col("in_place") == F.col("their_total"))
+        return shared.select("record", "accepted", "coverage", "back_coverage", equal.alias("equal"))
 
 
 def in_order(df: DataFrame, batch: str = "batch", seq: str = "seq") -> DataFrame:

@@ -1,6 +1,9 @@
+import pathlib
 import random
 
-from sagekeep.llm.history import ChunkHistory, one_blank, repeats
+import numpy as np
+
+from sagekeep.llm.history import ChunkHistory, chunks_of, one_blank, repeats
 from sagekeep.llm.vectors import usable_vectors
 
 from pyspark.sql import functions as F
@@ -109,3 +112,25 @@ def test_a_second_batch_reads_only_what_the_first_one_wrote(spark):
     one = spark.createDataFrame([(5,)], "chunk long")
     touched = history._touched("chunks", "record string, chunk long", one, "chunk").select(F.input_file_name().alias("f")).distinct()
     assert len({r.f.split("part=")[1].split("/")[0] for r in touched.collect()}) == 1
+
+
+def test_coverage_in_place_decides_equality_alone(spark):
+    rng = random.Random(11)
+    piece = lambda: "".join(rng.choice("abcdefgh ") for _ in range(400))
+    a, b, c = piece(), piece(), piece()
+    turned = a + b + a + c, a + c + a + b
+    history = ChunkHistory(spark, parts=4)
+    history.append(spark.createDataFrame([("old", turned[0], None), ("blank", "", None)], "id string, body string, vector binary"))
+    new = spark.createDataFrame([("same", turned[0]), ("turned", turned[1]), ("none", ""), ("other", piece())], "id string, body string")
+    found = {(r.record, r.accepted): r for r in history.covered(new, 0.5).collect()}
+    assert {key for key, r in found.items() if r.equal} == {("same", "old"), ("none", "blank")}
+    assert found["turned", "old"].coverage > 0.8
+    # No digest of a text is kept that could decide instead.
+    assert sorted(p.name for p in pathlib.Path(history.path.removeprefix("file://")).iterdir()) == ["chunks", "vectors"]
+
+
+def test_passages_in_another_order_are_covered_but_not_equal():
+    pieces = [b"one passage of it, ", b"and another passage, "]
+    first, second = (chunks_of(b"".join(x), np.array([len(x[0])])) for x in (pieces, pieces[::-1]))
+    assert {k: v[:2] for k, v in first.items()} == {k: v[:2] for k, v in second.items()}
+    assert all(first[k][2] != second[k][2] for k in first)
